@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from figlake.llm.common import CHUNK_BYTES, ranges, span_hashes, string_buffers, text_chunks
+from figlake.llm.common import ranges, span_hashes, string_buffers, text_chunks
 
 LETTER, NUMBER, OTHER, BLANK, SPACE, EDGE = range(6)
 #: White space as the pattern's \s has it, besides U+0020.
 _WHITE = (*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Pre-tokens above this many bytes are merged with a heap, one by one.
 LONG_PIECE = 96
+#: Bytes of text (or of ids) that one step handles.
+STEP_BYTES = 1 << 19
 #: Entries after which the cache of merged pre-tokens starts anew.
 CACHE_ENTRIES = 400_000
 
@@ -119,20 +121,26 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero((state == 3) | ((state == 0) & local))
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+@lru_cache(2)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each token, where it begins, the bytes of all tokens)."""
+    tokens = {rank: token for token, rank in _ranks(path).items()}
+    ordered = [tokens.get(k, b"") for k in range(max(tokens) + 1)]
+    lengths = np.array([len(t) for t in ordered], np.int64)
+    return lengths, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ordered), np.uint8)
+
+
 class Vocabulary:
-    """Ranks of a byte-level BPE, the pairs that merge, and a bounded cache of merged pre-tokens."""
+    """The pairs of a byte-level BPE that merge, and a bounded cache of merged pre-tokens."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.ranks = ranks
-        size = max(ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.begins = np.cumsum(self.lengths) - self.lengths
+        ranks = _ranks(path)
+        self.lengths = token_bytes(path)[0]
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {(a << 32) | b: r for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None}
         self.pair_rank = pairs
@@ -305,29 +313,28 @@ def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values.astype("<u4")))])
 
 
-def encode_array(texts: pa.Array, path: str) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
-    own, ids, at = vocabulary(path), [], []
-    for _, _, data, offsets in text_chunks(texts, CHUNK_BYTES):
-        got, where, counts = own.encode_chunk(data, offsets)
-        ids.append(_packed(got, counts))
-        at.append(_packed(where, counts))
-    return pa.chunked_array(ids, pa.binary()), pa.chunked_array(at, pa.binary())
+def encode_steps(texts: pa.Array, path: str):
+    """Yields (first row, last row + 1, packed ids, packed offsets) step by step."""
+    own = vocabulary(path)
+    for lo, hi, data, offsets in text_chunks(texts, STEP_BYTES):
+        ids, where, counts = own.encode_chunk(data, offsets)
+        yield lo, hi, _packed(ids, counts), _packed(where, counts)
 
 
-def decode_array(ids: pa.Array, at: pa.Array, path: str) -> pa.ChunkedArray:
-    own, out = vocabulary(path), []
+def decode_steps(ids: pa.Array, at: pa.Array, path: str):
+    """Yields (first row, last row + 1, bytes) step by step: each token's bytes are put at its offset."""
+    lengths_of, begins, flat = token_bytes(path)
     places, place_data = string_buffers(at)
-    for lo, hi, data, offsets in text_chunks(ids, CHUNK_BYTES):
+    for lo, hi, data, offsets in text_chunks(ids, STEP_BYTES):
         tokens = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
         where = np.frombuffer(place_data[places[lo] : places[hi]].tobytes(), "<u4").astype(np.int64)
-        lengths, counts = own.lengths[tokens], (offsets[1:] - offsets[:-1]) // 4
+        lengths, counts = lengths_of[tokens], (offsets[1:] - offsets[:-1]) // 4
         till, last = np.cumsum(lengths), np.cumsum(counts)
         total = np.r_[0, till][np.r_[0, last]]
         target = np.repeat(where + np.repeat(total[:-1], counts), lengths) + (np.arange(int(total[-1])) - np.repeat(till - lengths, lengths))
         text = np.empty(int(total[-1]), np.uint8)
-        text[target] = own.bytes[ranges(own.begins[tokens], lengths)]
-        out.append(pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(text)]))
-    return pa.chunked_array(out, pa.binary())
+        text[target] = flat[ranges(begins[tokens], lengths)]
+        yield lo, hi, pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(text)])
 
 
 def _added(df: DataFrame, *fields: T.StructField) -> T.StructType:
@@ -344,9 +351,8 @@ def encode(df: DataFrame, text: str, path: str, ids: str = "ids", offsets: str =
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                got, at = encode_array(batch.column(text), path)
-                for lo, size, a, b in zip(_starts(got), map(len, got.chunks), got.chunks, at.chunks, strict=True):
-                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, size).columns, a, b], names=schema.names)
+                for lo, hi, a, b in encode_steps(batch.column(text), path):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, a, b], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -358,12 +364,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "id_offset
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                got = decode_array(batch.column(ids), batch.column(offsets), path)
-                for lo, size, a in zip(_starts(got), map(len, got.chunks), got.chunks, strict=True):
-                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, size).columns, a], names=schema.names)
+                for lo, hi, a in decode_steps(batch.column(ids), batch.column(offsets), path):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, a], names=schema.names)
 
     return df.mapInArrow(run, schema)
-
-
-def _starts(column: pa.ChunkedArray) -> list[int]:
-    return np.r_[0, np.cumsum([len(c) for c in column.chunks])][:-1].astype(int).tolist()
