@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figlake.llm import bpe, decontam, shard, token_count
+from figlake.llm import bitslice, bpe, decontam, html_extract, quality, shard, token_count
 from figlake.llm.common import table
 
 
@@ -17,6 +17,11 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path("byte_bpe_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path).drop("text")
@@ -44,6 +49,10 @@ def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_bit_sliced_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(table(spark, sf_dir, "embeddings"))
+
+
 LIMIT = 4096
 
 
@@ -52,6 +61,25 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+#: Of a document to be kept.
+LEAST_SCORE = 0.3
+
+
+def _remainder(key):
+    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5
+
+
+def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds the score; learns from labelled rows that are not held out."""
+    model = quality.fit(documents, labels, usable=lambda key: _remainder(key) != 0)
+    return quality.score(documents, model)
+
+
+def op7_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (_remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -65,7 +93,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_hash_tree_shards, op6_token_counts, op8_winnowing)
+    f.__name__: f for f in (op1_site_templates, op2_byte_bpe, op3_hash_tree_shards, op4_bit_sliced_top10, op6_token_counts, op7_random_indexing, op8_winnowing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
