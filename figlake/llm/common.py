@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 CHUNK_BYTES = 2 << 20
@@ -127,3 +128,21 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a side that may be broadcast, of about a hundred bytes each; counted before.
+BROADCAST_ROWS = 400_000
+
+
+def identified(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """Adds a row's identity: its key where keys are integers, never null and never repeated; else a hash of key and text, by which rows that repeat both are one."""
+    whole = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+    keys = df.select(F.col(key).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key is null")
+    if whole and not keys.limit(1).count():
+        return df.withColumn(out, F.col(key).cast("long"))
+    return df.withColumn(out, F.xxhash64(key, text))
+
+
+def attached(df: DataFrame, side: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Joins side, which has one row for each value of ``on``: broadcast if it is small by count, else by a shuffle that hashes side and does not sort df."""
+    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side.hint("shuffle_hash"), on, how)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figlake.llm import bitslice, bpe, decontam, html_extract, quality, shard, token_count
+from figlake.llm import bitslice, bpe, decontam, html_extract, line_dedup, quality, shard, token_count
 from figlake.llm.common import table
 
 
@@ -92,8 +92,19 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs)
+    return left.select(
+        "doc_id",
+        F.size("removed_lines").cast("long").alias("n_removed"),
+        "removed_lines",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_site_templates, op2_byte_bpe, op3_hash_tree_shards, op4_bit_sliced_top10, op6_token_counts, op7_random_indexing, op8_winnowing)
+    f.__name__: f for f in (op1_site_templates, op2_byte_bpe, op3_hash_tree_shards, op4_bit_sliced_top10, op6_token_counts, op7_random_indexing, op8_winnowing, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
