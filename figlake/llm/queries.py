@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figlake.llm import bitslice, bpe, decontam, html_extract, line_dedup, quality, shard, token_count
+from figlake.llm import bitslice, bpe, chosen_path, decontam, html_extract, line_dedup, quality, shard, token_count
 from figlake.llm.common import table
 
 
@@ -92,6 +92,11 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chosen_path.with_groups(docs).select("doc_id", F.col("group_id").alias("class_id"), "n_links")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = line_dedup.dedup_lines(docs)
@@ -104,7 +109,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_site_templates, op2_byte_bpe, op3_hash_tree_shards, op4_bit_sliced_top10, op6_token_counts, op7_random_indexing, op8_winnowing, op10_line_dedup)
+    f.__name__: f for f in (op1_site_templates, op2_byte_bpe, op3_hash_tree_shards, op4_bit_sliced_top10, op6_token_counts, op7_random_indexing, op8_winnowing, op9_chosen_path, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
