@@ -130,8 +130,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a side that may be broadcast, of about a hundred bytes each; counted before.
-BROADCAST_ROWS = 400_000
+#: Rows and array elements, taken together, of a side that may be broadcast; of some ten bytes each, and counted before.
+BROADCAST_ELEMENTS = 1_500_000
 
 
 def identified(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
@@ -144,5 +144,17 @@ def identified(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
 
 
 def attached(df: DataFrame, side: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Joins side, which has one row for each value of ``on``: broadcast if it is small by count, else by a shuffle that hashes side and does not sort df."""
-    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side.hint("shuffle_hash"), on, how)
+    """Joins side, which has one row for each value of ``on``: broadcast if its rows and array elements are few by count, else by a shuffle that hashes side and does not sort df."""
+    arrays = [F.coalesce(F.size(f.name), F.lit(0)) for f in side.schema.fields if f.dataType.typeName() == "array"]
+    weight = side.agg(F.coalesce(F.sum(sum(arrays, F.lit(4))), F.lit(0))).first()[0]
+    return df.join(F.broadcast(side) if weight <= BROADCAST_ELEMENTS else side.hint("shuffle_hash"), on, how)
+
+
+def planes(column: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second bytes, and so on: bytes that hardly vary compress away."""
+    return column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)

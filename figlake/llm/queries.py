@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figlake.llm import bitslice, bpe, chosen_path, decontam, html_extract, line_dedup, quality, shard, token_count
+from figlake.llm import bitslice, bpe, chosen_path, decontam, html_extract, line_dedup, quality, recompress, shard, token_count
 from figlake.llm.common import table
 
 
@@ -53,6 +53,13 @@ def op4_bit_sliced_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = recompress.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    plain = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))  # texts without repeats come back as they were
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.when(F.col("n_removed") > 0, text).otherwise(plain).cast("binary"), 256).alias("kept_sha256"))
+
+
 LIMIT = 4096
 
 
@@ -109,7 +116,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_site_templates, op2_byte_bpe, op3_hash_tree_shards, op4_bit_sliced_top10, op6_token_counts, op7_random_indexing, op8_winnowing, op9_chosen_path, op10_line_dedup)
+    f.__name__: f for f in (op1_site_templates, op2_byte_bpe, op3_hash_tree_shards, op4_bit_sliced_top10, op5_recompression, op6_token_counts, op7_random_indexing, op8_winnowing, op9_chosen_path, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
