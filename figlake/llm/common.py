@@ -101,21 +101,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the session names; only a session without one, as in tests, gets a folder of its own."""
-    spark = df.sparkSession
-    if not _checkpoint_dir(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="figlake-checkpoint-"))
+    """Cuts the lineage with a reliable checkpoint in checkpoint_folder()."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _checkpoint_dir(spark: SparkSession) -> str | None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; only a session without one, as in tests, gets a folder of its own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get()
+    set_already = context._jsc.sc().getCheckpointDir()
+    if set_already.isDefined():
+        return set_already.get()
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        context.setCheckpointDir(named)
-    return named
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="figlake-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -143,8 +142,10 @@ def identified(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.xxhash64(key, text))
 
 
-def attached(df: DataFrame, side: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Joins side, which has one row for each value of ``on``: broadcast if its rows and array elements are few by count, else by a shuffle that hashes side and does not sort df."""
+def attached(df: DataFrame, side: DataFrame, on: str, how: str = "left", small: bool = True) -> DataFrame:
+    """Joins side, which has one row for each value of ``on``: broadcast if that may be (``small``) and its rows and array elements are few by count, else by a shuffle that hashes side and does not sort df."""
+    if not small:
+        return df.join(side.hint("shuffle_hash"), on, how)
     arrays = [F.coalesce(F.size(f.name), F.lit(0)) for f in side.schema.fields if f.dataType.typeName() == "array"]
     weight = side.agg(F.coalesce(F.sum(sum(arrays, F.lit(4))), F.lit(0))).first()[0]
     return df.join(F.broadcast(side) if weight <= BROADCAST_ELEMENTS else side.hint("shuffle_hash"), on, how)
