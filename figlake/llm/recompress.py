@@ -211,7 +211,7 @@ _WINDOWS = (("one", "<u8"), ("two", "<u4"), ("uid", "<i8"), ("at", "<i4"))
 def _equal_windows(docs: DataFrame, open_: DataFrame, buckets: int) -> DataFrame:
     """(uid, at, n): of the open records' windows those that occur at two places or more."""
     asked = checkpointed(open_.groupBy("uid").agg(F.collect_set(F.struct("at", "n")).alias("asked")).select("uid", F.col("asked.at").alias("ats"), F.col("asked.n").alias("ns")))
-    joined = attached(docs, asked, "uid", "inner").select("uid", "text", "ats", "ns")
+    joined = attached(docs, asked, "uid", "inner", small=False).select("uid", "text", "ats", "ns")
 
     def run(batches):
         for batch in batches:
@@ -287,4 +287,4 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", words
                 kept = [pa.array(texts, pa.string()) if name == text else batch.column(name).slice(lo, hi - lo) for name in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(begin), pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return attached(rows, found, uid).mapInArrow(run, schema)
+    return attached(rows, found, uid, small=False).mapInArrow(run, schema)
