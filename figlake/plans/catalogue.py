@@ -46,7 +46,7 @@ def geometry_box_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def geometry_pad_clamp(spark: SparkSession, d: str) -> DataFrame:
-    return D.graphics(spark, d).select(*KEY, *sides(F.col("box")), *sides(G.clamped(G.padded(F.col("box"), 100.0), D.PAGE_BOX), "c_"))
+    return D.graphics(spark, d).select(*KEY, *sides(F.col("box")), *sides(G.clamped(G.padded(F.col("box"), 100.0), D.page_box()), "c_"))
 
 
 @query
@@ -80,11 +80,11 @@ def caption_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def caption_columns(spark: SparkSession, d: str) -> DataFrame:
-    return captions(spark, d).select(*KEY, "caption_no", *sides(R.column_of(F.col("box"), D.PAGE_BOX)))
+    return captions(spark, d).select(*KEY, "caption_no", *sides(R.column_of(F.col("box"), D.page_box())))
 
 
 def _band(spark: SparkSession, d: str, direction: str) -> DataFrame:
-    return R.content_bands(captions(spark, d), D.lines(spark, d), direction, D.PAGE_BOX).where(F.col("band").isNotNull())
+    return R.content_bands(captions(spark, d), D.lines(spark, d), direction, D.page_box()).where(F.col("band").isNotNull())
 
 
 @query
@@ -99,18 +99,18 @@ def content_band_below(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def graphics_in_band(spark: SparkSession, d: str) -> DataFrame:
-    held = R.graphics_in_bands(_band(spark, d, "above"), D.graphics(spark, d), D.PAGE_BOX)
+    held = R.graphics_in_bands(_band(spark, d, "above"), D.graphics(spark, d), D.page_box())
     return held.select(*KEY, "caption_no", "kind", *sides(F.col("graphic")))
 
 
 @query
 def figure_region_detected(spark: SparkSession, d: str) -> DataFrame:
-    found = R.detected_regions(_band(spark, d, "above"), D.graphics(spark, d), D.PAGE_BOX, CONFIG)
+    found = R.detected_regions(_band(spark, d, "above"), D.graphics(spark, d), D.page_box(), CONFIG)
     return found.select(*KEY, "caption_no", "method", *sides(F.col("region")))
 
 
 def located(spark: SparkSession, d: str) -> DataFrame:
-    return R.locate_regions(captions(spark, d), D.lines(spark, d), D.graphics(spark, d), D.PAGE_BOX, CONFIG)
+    return R.locate_regions(captions(spark, d), D.lines(spark, d), D.graphics(spark, d), D.page_box(), CONFIG)
 
 
 @query
@@ -125,7 +125,7 @@ def detection_method_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def heuristic(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of the heuristic path."""
-    found = located(spark, d).withColumn("crop", render.crop_box(F.col("region"), D.PAGE_BOX, CONFIG))
+    found = located(spark, d).withColumn("crop", render.crop_box(F.col("region"), D.page_box(), CONFIG))
     return found.select(*KEY, F.col("caption_no").alias("cand_no"), X.figure_id(F.col("number")).alias("figure_id"), "label", "number", F.col("text").alias("caption"), "method", "region", "crop", render.renderable(F.col("crop")).alias("renderable"))
 
 
@@ -147,7 +147,7 @@ def effective_dpi(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def crop_boxes_renderable(spark: SparkSession, d: str) -> DataFrame:
-    crop = render.crop_box(F.col("box"), D.PAGE_BOX, CONFIG)
+    crop = render.crop_box(F.col("box"), D.page_box(), CONFIG)
     return D.graphics(spark, d).select(*KEY, "kind", *sides(crop), render.renderable(crop).alias("renderable"))
 
 
@@ -180,7 +180,7 @@ def regions_reading_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def region_points(spark: SparkSession, d: str) -> DataFrame:
-    return ordered(spark, d).select(*KEY, "region_no", *sides(L.to_points(F.col("box"), D.PAGE_BOX, CONFIG.layout_detect_dpi)))
+    return ordered(spark, d).select(*KEY, "region_no", *sides(L.to_points(F.col("box"), D.page_box(), CONFIG.layout_detect_dpi)))
 
 
 def nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +189,7 @@ def nearest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nearest_caption(spark: SparkSession, d: str) -> DataFrame:
-    return nearest(spark, d).select(*KEY, "region_no", F.col("caption.region_no").alias("caption_region"), F.col("caption.gap").cast("long").alias("gap"), F.col("caption.text").alias("caption_text"))
+    return nearest(spark, d).select(*KEY, "region_no", F.coalesce(F.col("caption.region_no"), F.lit(-1)).cast("long").alias("caption_region"), F.coalesce(F.col("caption.gap"), F.lit(-1)).cast("long").alias("gap"), F.col("caption.text").alias("caption_text"))
 
 
 @query
@@ -199,8 +199,8 @@ def synthesized_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of both paths."""
-    layout = L.layout_figures(regions(spark, d), D.PAGE_BOX, CONFIG)
-    own = render.renderable(render.crop_box(F.col("region"), D.PAGE_BOX, CONFIG))
+    layout = L.layout_figures(regions(spark, d), D.page_box(), CONFIG)
+    own = render.renderable(render.crop_box(F.col("region"), D.page_box(), CONFIG))
     layout = layout.select(*KEY, F.lit("layout").alias("path"), long("cand_no"), "figure_id", own.alias("renderable"))
     return layout.unionByName(heuristic(spark, d).select(*KEY, F.lit("heuristic").alias("path"), long("cand_no"), "figure_id", "renderable"))
 

@@ -137,7 +137,7 @@ ORACLE_SQL = {
         "figure_regions_confident": f"SELECT {_KEY}, region_no, confidence FROM ordered",
         "regions_reading_order": f"SELECT {_KEY}, region_no, index FROM ordered",
         "region_points": f"SELECT {_KEY}, region_no, px0 AS x0, ptop AS top, px1 AS x1, pbottom AS bottom FROM points",
-        "nearest_caption": f"SELECT {_KEY}, region_no, caption_region, gap, found_text AS caption_text FROM nearest",
+        "nearest_caption": f"SELECT {_KEY}, region_no, coalesce(caption_region, -1) AS caption_region, coalesce(gap, -1) AS gap, found_text AS caption_text FROM nearest",
         "synthesized_numbers": f"SELECT {_KEY}, region_no, number, 'figure-' || lower(number) AS figure_id, 'Figure ' || number AS label, coalesce(nullif(found_text, ''), '(Figure ' || number || ' — no caption text detected)') AS caption FROM named",
         "resolve_document": """WITH RECURSIVE fold AS (
           SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS page_number, CAST(NULL AS VARCHAR) AS path, CAST([] AS STRUCT(figure_id VARCHAR, cand_no BIGINT)[]) AS picked FROM turns

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figlake.functions import geometry as G
 
-PAGE_BOX = G.box(0.0, 0.0, 612.0, 792.0)
+def page_box() -> Column:
+    return G.box(0.0, 0.0, 612.0, 792.0)
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
