@@ -78,11 +78,14 @@ def _spans(w: Column, found: Column, lengths: list[int]) -> Column:
     def cut(w: Column, starts: Column, m: int) -> Column:
         return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(m).alias("m"), F.array(*[w[s + j] for j in range(m)]).alias("window")))
 
+    def found_grams(m: int):
+        return lambda h: _let(_grams(h, m), places)
+
     def of(w: Column) -> Column:
         last = F.size(w) - WINDOW
-        near = F.flatten(F.transform(_let(_hashes(w), lambda h: _let(_grams(h, GRAM), places)), lambda i: F.sequence(F.greatest(i - (SPAN - 1), F.lit(0)), F.least(i, last))))
+        near = F.flatten(F.transform(_let(_hashes(w), found_grams(GRAM)), lambda i: F.sequence(F.greatest(i - (SPAN - 1), F.lit(0)), F.least(i, last))))
         out = [cut(w, F.when(last >= 0, F.array_distinct(near)).otherwise(none), WINDOW)]
-        out += [cut(w, _let(_hashes(w), lambda h, m=m: _let(_grams(h, m), places)), m) for m in lengths]
+        out += [cut(w, _let(_hashes(w), found_grams(m)), m) for m in lengths]
         return F.concat(*out)
 
     return _let(w, of)

@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from figlake.llm.common import checkpointed, mix64, span_hashes, text_chunks, words_of
 
 FIT_ROWS, VOCABULARY = 6_000, 16_384
-DIMENSIONS, LOOKS, ENTRIES, REACH = 64, 96, 4, 2
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 128, 3e-3, 1e-4
+DIMENSIONS, LOOKS, ENTRIES, REACH = 64, 128, 4, 2
+HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 1600, 128, 3e-3, 1e-4
 #: Vectors of texts of few words are drawn towards the centre; standardised components end at FAR.
 FEW, FAR = 3, 6.0
 STEP_BYTES = 1 << 19
@@ -113,6 +113,10 @@ def context_vectors(sample: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
     return hashes[order], np.concatenate([vectors[order], np.zeros((1, DIMENSIONS))]).astype(np.float32)
 
 
+#: (shift, mask) of a look's parts: repeated, case, symbols, digits, length, last symbol; then the look as a whole. Each has an index vector.
+_LOOK_PARTS = ((0, 1), (1, 3), (3, 7), (6, 1), (7, 7), (10, 255), (0, (1 << 18) - 1))
+
+
 def pooled(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean context vector, share of unknown words and mean look vector of each text; last, how far they are to be trusted: n / (n + FEW) for n words."""
     n = len(offsets) - 1
@@ -127,9 +131,11 @@ def pooled(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, vectors: n
     out[docs, :DIMENSIONS] = np.add.reduceat(vectors[at], heads, axis=0) / counts[:, None]
     out[docs, DIMENSIONS] = np.add.reduceat((at == len(hashes)).astype(np.float32), heads) / counts
     codes, distinct = pd.factorize(looks)
-    places, signs = index_entries(mix64(distinct + np.uint64(77)), LOOKS)
     table = np.zeros((len(distinct), LOOKS), np.float32)
-    np.add.at(table, (np.arange(len(distinct))[:, None], places), signs)
+    for k, (shift, mask) in enumerate(_LOOK_PARTS):
+        part = ((distinct >> np.uint64(shift)) & np.uint64(mask)) + np.uint64((k + 1) << 32)
+        places, signs = index_entries(mix64(part), LOOKS)
+        np.add.at(table, (np.arange(len(distinct))[:, None], places), signs)
     out[docs, DIMENSIONS + 1 : -1] = np.add.reduceat(table[codes], heads, axis=0) / counts[:, None]
     out[docs, -1] = counts / (counts + FEW)
     return out
@@ -170,8 +176,9 @@ def train(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, vectors: np.ndarray,
     t = y[fit].astype(np.float32)
     params = [rng.normal(0, z.shape[1] ** -0.5, (z.shape[1], HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, HIDDEN).astype(np.float32), np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(len(z)), max(1, len(z) // BATCH)):
+    parts = max(1, len(z) // BATCH)
+    for _ in range(-(-STEPS // parts)):
+        for batch in np.array_split(rng.permutation(len(z)), parts):
             w1, b1, w2, b2 = params
             a, target = z[batch], t[batch]
             h = np.tanh(a @ w1 + b1)
