@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figlake.llm import bpe, chosen_path, decontam, line_dedup
-from figlake.llm.common import checkpoint_folder, identified, table
+from figlake.llm.common import attached, checkpoint_folder, checkpointed, identified, table
 from figlake.llm.queries import LEAST_SCORE, quality_scores, vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,13 +44,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that hold a benchmark window go."""
     rows = identified(docs, "doc_id", "text", "_uid")
     found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), key="_uid").where("n_hit > 0").select("_uid").distinct()
-    return rows.join(found.hint("shuffle_hash"), "_uid", "left_anti").select(*COLUMNS)
+    return attached(rows, checkpointed(found), "_uid", "left_anti").select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids (packed, little-endian unsigned 32-bit) of every text, their count, and whether decoding gives the text back."""
     path = vocabulary_path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), "text", path), path)
+    both = bpe.round_trip(docs.select("doc_id", "text"), "text", path)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
 

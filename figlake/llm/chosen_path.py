@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figlake.llm.common import attached, checkpointed, fresh, identified, mix64, ranges, span_hashes, text_chunks, words_of
+from figlake.llm.common import attached, checkpointed, fresh, identified, mix64, ranges, span_hashes, text_chunks, tidy, tidy_group, words_of
 
 NUM, DEN, WORDS = 4, 5, 5
 CHOSEN, DEPTH, TARGET = 8, 6, 0.999995
 BLOCK, SMALL = 4096, 48
 DOCS_PER_BUCKET = 1000
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -84,7 +84,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 if len(heads):
                     yield pa.RecordBatch.from_arrays([pa.array(uids[lo:hi][text]), pa.array(_identity(tokens, heads, sizes).view(np.int64))], names=["uid", "same"])
 
-    return docs.mapInArrow(run, "uid long, same long")
+    return docs.mapInArrow(tidy(run), "uid long, same long")
 
 
 _PACK = (("tok", "<i8"), ("uid", "<i8"), ("same", "<i8"), ("size", "<i4"))
@@ -119,7 +119,7 @@ def _chosen(docs: DataFrame, buckets: int) -> DataFrame:
                 packed = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
-    return docs.mapInArrow(run, "bucket int, packed binary")
+    return docs.mapInArrow(tidy(run), "bucket int, packed binary")
 
 
 def _shared(chosen: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _shared(chosen: DataFrame) -> DataFrame:
         more = n[at] >= 2
         return pa.table({"uid": uid[more], "size": size[more], "tok": (tok[more] >> 32).astype(np.int32), "n": n[at][more].astype(np.int32)})
 
-    return chosen.groupBy("bucket").applyInArrow(meet, "uid long, size int, tok int, n int")
+    return chosen.groupBy("bucket").applyInArrow(tidy_group(meet), "uid long, size int, tok int, n int")
 
 
 def _padded(lists: pa.ListArray) -> np.ndarray:
@@ -205,7 +205,7 @@ def _partners(posts: DataFrame) -> DataFrame:
         _, _, a, b = _bucket_pairs(table)
         return table.take(pa.array(np.unique(np.concatenate([a, b])))).select(["uid", "tok", "i", "j", "block"])
 
-    return posts.groupBy("bucket").applyInArrow(meet, "uid long, tok int, i int, j int, block int")
+    return posts.groupBy("bucket").applyInArrow(tidy_group(meet), "uid long, tok int, i int, j int, block int")
 
 
 _LINKS = "uid long, links long, root long"
@@ -245,7 +245,7 @@ def _linked(sent: DataFrame) -> DataFrame:
         some = links > 0
         return pa.table({"uid": uid[some], "links": links[some].astype(np.int64), "root": uid[root][some]})
 
-    return sent.groupBy("bucket").applyInArrow(meet, _LINKS)
+    return sent.groupBy("bucket").applyInArrow(tidy_group(meet), _LINKS)
 
 
 def _counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in rest], pa.array(packed, pa.binary())], names=["uid", "size", "toks", "copies", "at", "shingles"])
 
     place = "array<struct<tok:int,i:int,j:int,block:int>>"
-    sent = asked.select("text", "uid", "size", "toks", "copies", "at").mapInArrow(shingles, f"uid long, size int, toks array<int>, copies long, at {place}, shingles binary")
+    sent = asked.select("text", "uid", "size", "toks", "copies", "at").mapInArrow(tidy(shingles), f"uid long, size int, toks array<int>, copies long, at {place}, shingles binary")
     sent = sent.select("uid", "size", "toks", "copies", "shingles", F.explode("at").alias("at")).select("uid", "size", "toks", "copies", "shingles", "at.*").withColumn("bucket", spread)
     linked = checkpointed(_linked(sent))
     links = linked.groupBy("uid").agg(F.sum("links").alias("links"))

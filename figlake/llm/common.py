@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
@@ -159,3 +161,34 @@ def planes(column: np.ndarray) -> bytes:
 def from_planes(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+
+
+def _release() -> None:
+    """Gives free memory back to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """For mapInArrow: run, with memory given back at the end of the task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def tidy_group(meet):
+    """For applyInArrow: meet, with memory given back after large groups."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = meet(table)
+        if table.nbytes > 1 << 19:
+            _release()
+        return out
+
+    return wrapped

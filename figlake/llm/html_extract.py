@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import checkpointed, fresh
+from figlake.llm.common import checkpointed, fresh, tidy
 
 MIN_PAGES, MIN_SHARE = 4, 0.05
 #: Hosts with templates that may be broadcast; each has few recurring subtrees, as each must be on MIN_SHARE of its pages.
@@ -217,7 +217,7 @@ def _subtrees(pages: DataFrame, host: str, html: str) -> DataFrame:
                 seen.update((at, h) for h in Page(text.as_py() or "").hashes)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "subtree", "n"])
 
-    return pages.select(host, html).mapInArrow(run, "host string, subtree long, n long")
+    return pages.select(host, html).mapInArrow(tidy(run), "host string, subtree long, n long")
 
 
 def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
@@ -247,4 +247,4 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
             texts = [main_text(text.as_py(), frozenset(drop.as_py() or ())) for text, drop in zip(batch.column(html), batch.column(gone), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(texts, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import checkpointed, mix64, span_hashes, text_chunks, words_of
+from figlake.llm.common import checkpointed, mix64, span_hashes, text_chunks, tidy, tidy_group, words_of
 
 FIT_ROWS, VOCABULARY = 6_000, 16_384
 DIMENSIONS, LOOKS, ENTRIES, REACH = 64, 128, 4, 2
@@ -103,7 +103,7 @@ def context_vectors(sample: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
         return pa.table([pa.array(distinct), pa.array(counts), pa.array([r.tobytes() for r in sums], pa.binary())], names=["h", "n", "v"])
 
     schema = "h long, n long, v binary"
-    parts = sample.select(text).mapInArrow(collect, schema).groupBy(F.pmod("h", F.lit(64)).alias("bucket")).applyInArrow(add, schema)
+    parts = sample.select(text).mapInArrow(tidy(collect), schema).groupBy(F.pmod("h", F.lit(64)).alias("bucket")).applyInArrow(tidy_group(add), schema)
     rows = parts.where("n >= 3").orderBy(F.desc("n"), "h").limit(VOCABULARY).collect()
     hashes = np.array([r.h for r in rows], np.int64).view(np.uint64)
     vectors = np.frombuffer(b"".join(r.v for r in rows), np.float32).reshape(len(rows), DIMENSIONS)
@@ -218,7 +218,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             for lo, hi, data, offsets in text_chunks(batch.column(0), STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in pooled(data, offsets, hashes, vectors)], pa.binary()), batch.column(2).slice(lo, hi - lo)], names=["key", "x", "y"])
 
-    rows = sample.select("text", F.col("key").cast("string").alias("key"), "y").mapInArrow(vectors_of, "key string, x binary, y int").orderBy("key").collect()
+    rows = sample.select("text", F.col("key").cast("string").alias("key"), "y").mapInArrow(tidy(vectors_of), "key string, x binary, y int").orderBy("key").collect()
     seen = {r.y for r in rows}
     if len(seen) < 2:
         return float(seen.pop()) if seen else 0.5
@@ -241,4 +241,4 @@ def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "s
             for lo, hi, data, offsets in text_chunks(batch.column(text), STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(own.score(pooled(data, offsets, own.hashes, own.vectors)))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

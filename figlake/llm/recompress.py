@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import attached, checkpointed, fresh, from_planes, identified, mix64, planes, ranges, span_hashes, text_chunks, words_of
+from figlake.llm.common import attached, checkpointed, fresh, from_planes, identified, mix64, planes, ranges, span_hashes, text_chunks, tidy, tidy_group, words_of
 
 WINDOW, ROUNDS = 35, 3
 DOCS_PER_BUCKET = 1000
@@ -174,7 +174,7 @@ def _records(docs: DataFrame, buckets: int) -> DataFrame:
                 bucket = np.where(head, (name % np.uint64(buckets)).astype(np.int64), mix64(uid.view(np.uint64) + at.astype(np.uint64)) .astype(np.int64) % buckets)
                 yield _packed(bucket, [np.where(head, name.view(np.int64), 0), np.where(head, span.view(np.int64), 0), uid, at.astype(np.int32), (many + np.where(sure, _SURE, 0)).astype(np.int32)])
 
-    return docs.mapInArrow(run, "bucket int, packed binary")
+    return docs.mapInArrow(tidy(run), "bucket int, packed binary")
 
 
 _FOUND = "uid long, at int, n int, sure boolean, open boolean"
@@ -202,7 +202,7 @@ def _found(records: DataFrame) -> DataFrame:
         flags = [np.concatenate([sure[rows], np.ones(int(only.sum()), bool)]), np.concatenate([open_[rows], np.zeros(int(only.sum()), bool)])]
         return pa.table([*map(pa.array, out), *map(pa.array, flags)], names=["uid", "at", "n", "sure", "open"])
 
-    return records.groupBy("bucket").applyInArrow(meet, _FOUND)
+    return records.groupBy("bucket").applyInArrow(tidy_group(meet), _FOUND)
 
 
 _WINDOWS = (("one", "<u8"), ("two", "<u4"), ("uid", "<i8"), ("at", "<i4"))
@@ -238,7 +238,7 @@ def _equal_windows(docs: DataFrame, open_: DataFrame, buckets: int) -> DataFrame
         held = (np.bincount(group, other) > 0)[group] if len(one) else other
         return pa.table({"uid": uid[held], "at": at[held], "n": np.ones(int(held.sum()), np.int32)})
 
-    return joined.mapInArrow(run, "bucket int, packed binary").groupBy("bucket").applyInArrow(meet, "uid long, at int, n int")
+    return joined.mapInArrow(tidy(run), "bucket int, packed binary").groupBy("bucket").applyInArrow(tidy_group(meet), "uid long, at int, n int")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -287,4 +287,4 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", words
                 kept = [pa.array(texts, pa.string()) if name == text else batch.column(name).slice(lo, hi - lo) for name in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(begin), pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return attached(rows, found, uid, small=False).mapInArrow(run, schema)
+    return attached(rows, found, uid, small=False).mapInArrow(tidy(run), schema)

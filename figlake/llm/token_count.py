@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from figlake.llm.common import string_buffers
+from figlake.llm.common import string_buffers, tidy
 
 #: Bytes of a batch, and of a part of a long text, at about which they end.
 BATCH_BYTES, PART_BYTES = 1 << 20, 1 << 16
@@ -123,4 +123,4 @@ def count_tokens(df: DataFrame, text: str, path: str, bytes_out: str = "n_bytes"
             tokens = np.concatenate([counts_of([t or "" for t in column.slice(a, b - a).to_pylist()], sizes[a:b], path) for a, b in zip(edges, edges[1:], strict=False)])
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(sizes), pa.array(tokens)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
