@@ -9,8 +9,8 @@ similarity of ``NUM/DEN`` = 0.8 or more with it. Steps:
 3. In a token's group the sets are taken in line order, equal sets once, and later sets are matched with earlier ones through the length,
    positional and bitmap filters (all exact: they drop only what cannot match).
    Only whether an earlier match exists matters, so of many candidates the nearest by bitmap are proposed.
-4. Proposed lines send their tokens to the later line's document, which verifies the Jaccard similarity. If a set had more candidates
-   than were proposed and none held, the join runs again for such sets with all their candidates.
+4. Both lines of a proposal are fetched and the Jaccard similarity of their words is verified. If a set had more candidates
+   than were proposed and none held, all its candidates are verified, from the groups that were kept for that.
 
 Defined cases: lines without words stay and match nothing; null texts stay null, empty ones empty; very long texts and
 lines are read whole; documents that repeat an id or have none are told apart by id and text, in the order of a hash, and rows that repeat both
@@ -19,6 +19,7 @@ get the same result; other columns are kept under their names; an empty table st
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import attached, checkpointed, fresh, identified, mix64, ranges, span_hashes, text_chunks, words_of
+from figlake.llm.common import attached, checkpointed, fresh, from_planes, identified, mix64, planes, ranges, span_hashes, text_chunks, tidy, tidy_group, words_of
 
 NUM, DEN = 4, 5
-COMMON = 1 << 16
-#: Candidates of a set that a token's group proposes at first, if it holds more than SMALL sets.
-PROPOSED, SMALL = 4, 48
+COMMON = 1 << 18
+#: Candidates of a set that a token's group proposes at first, and how many more if the nearest is doubtful; groups of more sets than SMALL are compared block by block.
+PROPOSED, DOUBTFUL, SMALL = 1, 2, 256
 DOCS_PER_BUCKET = 1000
 STEP_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -88,7 +89,7 @@ class _Heavy:
         codes, distinct = pd.factorize(tokens)
         self.parts.append((distinct, np.bincount(codes)))
         self.held += len(distinct)
-        if self.held > 16 * COMMON:
+        if self.held > 8 * COMMON:
             self.parts = [self.most(4 * COMMON)]
             self.held = len(self.parts[0][0])
 
@@ -103,11 +104,12 @@ class _Heavy:
         return distinct, counts
 
 
-_LINES = "kind byte, h long, uid long, line int"
+_LINES = "bucket int, h long, uid long, line int, packed binary"
+COUNT_BUCKETS = 64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """kind 0: set hash, document and line; kind 1: token and (as uid) its count in the task."""
+    """Set hash, document and line of every line (bucket null); and packed counts of the task's tokens, by buckets of tokens."""
 
     def run(batches):
         heavy = _Heavy()
@@ -115,29 +117,62 @@ def _lines(docs: DataFrame) -> DataFrame:
             uids = batch.column("uid").to_numpy()
             for lo, hi, data, offsets in text_chunks(batch.column("text"), STEP_BYTES):
                 sets = line_sets(data, offsets)
-                if len(sets.heads):
+                if len(n := sets.heads):
                     heavy.add(sets.tokens)
-                    yield _record(_LINES, np.zeros(len(sets.heads), np.int8), sets.hashes.view(np.int64), uids[lo:hi][sets.text], sets.line.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), pa.array(sets.hashes.view(np.int64)), pa.array(uids[lo:hi][sets.text]), pa.array(sets.line.astype(np.int32)), pa.nulls(len(n), pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
         tokens, counts = heavy.most(COMMON)
-        yield _record(_LINES, np.ones(len(tokens), np.int8), tokens.view(np.int64), counts, np.zeros(len(tokens), np.int32))
+        bucket = (mix64(tokens) % np.uint64(COUNT_BUCKETS)).astype(np.int64)
+        packed = [tokens[bucket == k].tobytes() + counts[bucket == k].astype(np.int64).tobytes() for k in range(COUNT_BUCKETS)]
+        none = pa.nulls(COUNT_BUCKETS, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNT_BUCKETS, dtype=np.int32)), none, none, pa.nulls(COUNT_BUCKETS, pa.int32()), pa.array(packed, pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
 
-    return docs.mapInArrow(run, _LINES)
-
-
-def _record(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
+    return docs.mapInArrow(tidy(run), _LINES)
 
 
 def _most_common(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, ranks by count) of the COMMON most frequent tokens: at most a megabyte."""
-    rows = lines.where("kind = 1").groupBy("h").agg(F.sum("uid").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()
-    hashes = rows["h"].to_numpy().view(np.uint64)
-    ranks = np.arange(len(hashes), 0, -1)
+    """(sorted hashes, ranks by count) of about the COMMON most frequent tokens, COMMON / COUNT_BUCKETS of each bucket: at most a few megabytes."""
+
+    def add(table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, np.uint64) for x in table.column("packed").to_pylist()]
+        tokens = np.concatenate([x[: len(x) // 2] for x in blobs])
+        counts = np.concatenate([x[len(x) // 2 :] for x in blobs]).astype(np.int64)
+        codes, distinct = pd.factorize(tokens)
+        total = np.bincount(codes, counts, len(distinct)).astype(np.int64)
+        most = np.lexsort((distinct, -total))[: COMMON // COUNT_BUCKETS]
+        return pa.table({"packed": pa.array([distinct[most].tobytes() + total[most].tobytes()], pa.binary())})
+
+    rows = lines.where("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(tidy_group(add), "packed binary").collect()
+    blobs = [np.frombuffer(r.packed, np.uint64) for r in rows] or [np.zeros(0, np.uint64)]
+    hashes = np.concatenate([x[: len(x) // 2] for x in blobs])
+    counts = np.concatenate([x[len(x) // 2 :] for x in blobs]).astype(np.int64)
+    ranks = np.empty(len(hashes), np.int64)
+    ranks[np.lexsort((hashes, counts))] = np.arange(1, len(hashes) + 1)
     order = np.argsort(hashes)
     return hashes[order], ranks[order]
 
 
-_PACK = (("tok", "<u4"), ("sid", "<u4"), ("sig", "<u8"), ("uid", "<i8"), ("line", "<i4"), ("size", "<i4"), ("turn", "<i4"))
+_PACK = (("tok", "<u4"), ("sid", "<u4"), ("uid", "<i8"), ("line", "<i4"), ("size", "<i4"), ("turn", "<i4"))
+#: Words of 64 bits that the signature of a set has: by its size, so that unlike sets differ in more bits than like ones may.
+SIGNATURES = ((48, 1), (96, 2), (224, 4), (1 << 62, 16))
+
+
+def _width(sizes: np.ndarray) -> np.ndarray:
+    return np.array([w for _, w in SIGNATURES])[np.searchsorted([m for m, _ in SIGNATURES[:-1]], sizes)]
+
+
+def signatures(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """(words, where each set's begin): the parities of the tokens that fall on each bit. The bits in which two sets differ are no more than their tokens that differ."""
+    width = _width(sets.sizes)
+    begin = np.cumsum(width) - width
+    words = np.zeros(int(width.sum()), np.uint64)
+    bit = (sets.tokens >> np.uint64(48)) & np.repeat(64 * width - 1, sets.sizes).astype(np.uint64)
+    np.bitwise_xor.at(words, np.repeat(begin, sets.sizes) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return words, begin
+
+
+def _packed(columns: dict[str, np.ndarray], sigs: np.ndarray) -> bytes:
+    n = len(columns["tok"])
+    return n.to_bytes(4, "little") + b"".join(planes(np.ascontiguousarray(columns[name])) for name, _ in _PACK) + sigs.tobytes()
 
 
 def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
@@ -162,7 +197,7 @@ def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: i
                 of_uid = uids[lo:hi][sets.text]
                 order = np.lexsort((sets.line, of_uid, sets.hashes))
                 kept = order[np.r_[True, sets.hashes[order][1:] != sets.hashes[order][:-1]]]
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (sets.tokens >> np.uint64(58)), sets.heads)
+                words, begin = signatures(sets)
                 prefix = (sets.sizes - (NUM * sets.sizes + DEN - 1) // DEN + 1)[kept]
                 of = np.repeat(kept, prefix)
                 turn = ranges(np.zeros(len(kept), np.int64), prefix)
@@ -170,155 +205,211 @@ def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: i
                 bucket = (mix64(tokens) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 of, turn, tokens, bucket = of[order], turn[order], tokens[order], bucket[order]
-                columns = {"tok": tokens >> np.uint64(20), "sid": sets.hashes[of], "sig": bits[of], "uid": of_uid[of], "line": sets.line[of], "size": sets.sizes[of], "turn": turn}
+                columns = {"tok": tokens >> np.uint64(20), "sid": sets.hashes[of], "uid": of_uid[of], "line": sets.line[of], "size": sets.sizes[of], "turn": turn}
                 columns = {name: columns[name].astype(kind) for name, kind in _PACK}
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                packed = [b"".join(columns[name][a:b].tobytes() for name, _ in _PACK) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                width = _width(sets.sizes)[of]
+                sigs, till = words[ranges(begin[of], width)], np.r_[0, np.cumsum(width)]
+                packed = [_packed({name: c[a:b] for name, c in columns.items()}, sigs[till[a] : till[b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
-    return docs.mapInArrow(run, "bucket int, packed binary")
+    return docs.mapInArrow(tidy(run), "bucket int, packed binary")
 
 
 def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    width = sum(np.dtype(kind).itemsize for _, kind in _PACK)
-    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in _PACK}
+    """The columns of all postings; sat is where a posting's signature begins in sigs."""
+    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in (*_PACK, ("sigs", ""))}
     for blob in blobs:
-        n, at = len(blob) // width, 0
+        n, at = int.from_bytes(blob[:4], "little"), 4
         for name, kind in _PACK:
-            parts[name].append(np.frombuffer(blob, kind, n, at))
+            parts[name].append(from_planes(blob, kind, n, at))
             at += n * np.dtype(kind).itemsize
-    return {name: np.concatenate(x) for name, x in parts.items()}
+        parts["sigs"].append(np.frombuffer(blob, np.uint64, -1, at))
+    out = {name: np.concatenate(x) for name, x in parts.items()}
+    width = _width(out["size"])
+    return out | {"sat": np.cumsum(width) - width}
 
 
-def _passing(p: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether the pairs a, b pass the filters, bits in which they differ)."""
-    m, n = p["size"][a].astype(np.int64), p["size"][b].astype(np.int64)
-    need = -(-NUM * (m + n) // (NUM + DEN))
-    differ = np.bitwise_count(p["sig"][a] ^ p["sig"][b]).astype(np.int64)
-    room = 1 + np.minimum(m - p["turn"][a] - 1, n - p["turn"][b] - 1)
-    fits = (DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)) & (room >= need) & (differ <= m + n - 2 * need) & ~((need == m) & (need == n))
-    return fits, differ
+def _folded(p: dict[str, np.ndarray], rows: np.ndarray, width: int, to: int) -> np.ndarray:
+    words = p["sigs"][p["sat"][rows][:, None] + np.arange(width)]
+    return words if width == to else np.bitwise_xor.reduce(words.reshape(len(rows), width // to, to), axis=1)
 
 
-_PAIRS = "uid long, line int, uid2 long, line2 int, more boolean"
+def _differ(p: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the signatures of the pairs differ, the longer one folded to the shorter."""
+    out, left, right = np.zeros(len(a), np.int32), _width(p["size"][a]), _width(p["size"][b])
+    both = left * 64 + right
+    for code in np.unique(both).tolist():
+        rows, (x, y) = np.flatnonzero(both == code), divmod(code, 64)
+        out[rows] = np.bitwise_count(_folded(p, a[rows], x, min(x, y)) ^ _folded(p, b[rows], y, min(x, y))).sum(axis=1)
+    return out
 
 
-def candidates(p: dict[str, np.ndarray], proposed: int | None) -> tuple[np.ndarray, ...]:
-    """(later, earlier, whether more could be proposed) as row numbers of p, which gets ordered."""
-    order = np.lexsort((p["line"], p["uid"], p["size"], p["sig"], p["sid"], p["tok"]))
-    q = {k: v[order] for k, v in p.items()}
-    new = np.r_[True, np.any([q[k][1:] != q[k][:-1] for k in ("tok", "sid", "sig", "size")], axis=0)]
-    q = {k: v[new] for k, v in q.items()}
-    order = np.lexsort((q["line"], q["uid"], q["tok"]))
-    for k in p:
-        p[k] = q[k][order]
+def _passing(p: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs a, b those that pass the filters, the bits in which they differ, and whether these are so few that the pair will hold. The cheapest filter goes first."""
+    m, n = p["size"][a], p["size"][b]
+    fits = np.flatnonzero(DEN * np.minimum(m, n) >= NUM * np.maximum(m, n))
+    a, b, m, n = a[fits], b[fits], m[fits], n[fits]
+    need = -(-NUM * (m + n) // (NUM + DEN))
+    fits = np.flatnonzero((1 + np.minimum(m - p["turn"][a] - 1, n - p["turn"][b] - 1) >= need) & ~((need == m) & (need == n)))
+    a, b, most = a[fits], b[fits], (m + n - 2 * need)[fits]
+    differ = _differ(p, a, b)
+    fits = np.flatnonzero(differ <= most)
+    return a[fits], b[fits], differ[fits], (2 * differ <= most)[fits]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, likely: np.ndarray, proposed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each a the ``proposed`` b (more, by DOUBTFUL, if the nearest is doubtful) that differ least, the earliest among equals; the bits; and whether there are more."""
+    order = np.lexsort((b, differ, a))
+    a, b, differ, likely = a[order], b[order], differ[order], likely[order]
+    first = np.searchsorted(a, a)
+    place, many = np.arange(len(a)) - first, np.searchsorted(a, a, side="right") - first
+    most = np.where(likely[first], proposed, proposed + DOUBTFUL)
+    keep = place < most
+    return a[keep], b[keep], differ[keep], (many > most)[keep]
+
+
+#: A pair; or, with uid null, the postings of the group more = bucket << 32 | tok. more of a pair: null, or that group, if it holds more candidates of the set than were proposed.
+_PAIRS = "uid long, line int, uid2 long, line2 int, differ int, more long, packed binary"
+
+
+def candidates(p: dict[str, np.ndarray], proposed: int) -> tuple[np.ndarray, ...]:
+    """(later, earlier, bits in which they differ, whether more could be proposed), the first two as row numbers of p, which gets ordered."""
+    place = np.empty(len(p["tok"]), np.int64)
+    place[np.lexsort((p["line"], p["uid"]))] = np.arange(len(place))
+    tok = p["tok"].astype(np.uint64) << np.uint64(32)
+    order = np.argsort(tok | p["sid"])
+    p["sig"] = p["sigs"][p["sat"]]
+    key, sig, size = (tok | p["sid"])[order], p["sig"][order], p["size"][order]
+    same = key[1:] == key[:-1]
+    if (same & ((sig[1:] != sig[:-1]) | (size[1:] != size[:-1]))).any():  # different sets with one short hash
+        order = np.lexsort((p["size"], p["sig"], p["sid"], p["tok"]))
+        same = np.all([p[k][order][1:] == p[k][order][:-1] for k in ("tok", "sid", "sig", "size")], axis=0)
+    heads = np.flatnonzero(np.r_[True, ~same])
+    least = np.minimum.reduceat(place[order], heads) if len(order) else place
+    at = np.empty(len(place), np.int64)
+    at[place] = np.arange(len(place))
+    kept = at[least]
+    order = kept[np.argsort(tok[kept] | least.astype(np.uint64))]
+    for k in p.keys() - {"sigs"}:
+        p[k] = p[k][order]
     heads = np.flatnonzero(np.r_[True, p["tok"][1:] != p["tok"][:-1]])
     sizes = np.diff(np.r_[heads, len(p["tok"])])
-    later, earlier, more = [], [], []
+    later, earlier, bits, more = [], [], [], []
     little = sizes <= SMALL
     rows = ranges(heads[little], sizes[little])
     before = rows - np.repeat(heads[little], sizes[little])
-    step = 1 << 20
+    step = 1 << 19
     for cut in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(before) // step)) + 1) if len(rows) else []:
         a = np.repeat(rows[cut], before[cut])
         b = ranges(rows[cut] - before[cut], before[cut])
-        fits, _ = _passing(p, a, b)
-        later.append(a[fits]), earlier.append(b[fits]), more.append(np.zeros(int(fits.sum()), bool))
+        a, b, differ, left = _nearest(*_passing(p, a, b), proposed)
+        later.append(a), earlier.append(b), bits.append(differ), more.append(left)
     for head, size in zip(heads[~little].tolist(), sizes[~little].tolist(), strict=True):
         for first in range(head, head + size, 256):
             own = np.arange(first, min(first + 256, head + size))
-            found = np.zeros(len(own), bool)
             for begin in range(head, int(own[-1]), 4096):  # earlier sets, the earliest first, until each has candidates
-                open_ = own[~found] if proposed else own
                 others = np.arange(begin, min(begin + 4096, int(own[-1])))
-                if not len(open_) or not len(others):
+                a, b = np.repeat(own, len(others)), np.tile(others, len(own))
+                a, b, differ, left = _nearest(*_passing(p, a[b < a], b[b < a]), proposed)
+                later.append(a), earlier.append(b), bits.append(differ), more.append(left | (begin + 4096 < a))
+                own = np.setdiff1d(own, a)
+                if not len(own):
                     break
-                a, b = np.repeat(open_, len(others)), np.tile(others, len(open_))
-                a, b = a[b < a], b[b < a]
-                fits, differ = _passing(p, a, b)
-                a, b, differ = a[fits], b[fits], differ[fits]
-                if proposed:
-                    near = np.lexsort((b, differ, a))
-                    a, b = a[near], b[near]
-                    place = np.arange(len(a)) - np.searchsorted(a, a)
-                    last = np.searchsorted(a, a, side="right") - np.searchsorted(a, a)
-                    left = (last > proposed) | (begin + 4096 < a)
-                    a, b, left = a[place < proposed], b[place < proposed], left[place < proposed]
-                    found[np.searchsorted(own, np.unique(a))] = True
-                else:
-                    left = np.zeros(len(a), bool)
-                later.append(a), earlier.append(b), more.append(left)
-    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((later, np.int64), (earlier, np.int64), (more, bool)))
-
-
-def _pairs(postings: DataFrame, proposed: int | None) -> DataFrame:
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((later, np.int64), (earlier, np.int64), (bits, np.int32), (more, bool)))
+
+
+def _pairs(postings: DataFrame, proposed: int) -> DataFrame:
+    """Proposed pairs; and the groups of tokens that hold more candidates of some set than were proposed."""
+
     def meet(table: pa.Table) -> pa.Table:
         p = _unpacked(table.column("packed").to_pylist())
-        a, b, more = candidates(p, proposed)
-        return pa.Table.from_batches([_record(_PAIRS, p["uid"][a], p["line"][a].astype(np.int32), p["uid"][b], p["line"][b].astype(np.int32), more)])
+        a, b, differ, more = candidates(p, proposed)
+        group = (table.column("bucket")[0].as_py() << 32) | p["tok"].astype(np.int64)
+        kept = np.unique(group[a[more]])
+        begin, end = np.searchsorted(group, kept), np.searchsorted(group, kept, side="right")
+        packed = []
+        for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+            sigs = p["sigs"][ranges(p["sat"][x:y], _width(p["size"][x:y]))]
+            packed.append(_packed({name: p[name][x:y] for name, _ in _PACK}, sigs))
+        n, m = len(a), len(kept)
+        columns = [p["uid"][a], p["line"][a].astype(np.int32), p["uid"][b], p["line"][b].astype(np.int32), differ.astype(np.int32)]
+        out = [pa.concat_arrays([pa.array(c), pa.nulls(m, pa.array(c).type)]) for c in columns]
+        out += [pa.concat_arrays([pa.array(group[a], pa.int64(), mask=~more), pa.array(kept, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(packed, pa.binary())])]
+        return pa.table(out, names=[f.split()[0] for f in _PAIRS.split(", ")])
+
+    return postings.groupBy("bucket").applyInArrow(tidy_group(meet), _PAIRS)
+
+
+def _rest(groups: DataFrame, asked: DataFrame) -> DataFrame:
+    """All candidates of the asked (uid, line, more) in the groups (more, packed)."""
+    sets = asked.groupBy("more").agg(F.collect_set(F.struct("uid", "line")).alias("asked"))
+    joined = groups.join(sets, "more").select("packed", F.col("asked.uid").alias("uids"), F.col("asked.line").alias("lines"))
 
-    return postings.groupBy("bucket").applyInArrow(meet, _PAIRS)
+    def run(batches):
+        for batch in batches:
+            for packed, uids, lines in zip(batch.column("packed").to_pylist(), batch.column("uids").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                p = _unpacked([packed])  # in order of lines already, equal sets once
+                wanted = set(zip(uids, lines, strict=True))
+                for a in [k for k, x in enumerate(zip(p["uid"].tolist(), p["line"].tolist(), strict=True)) if x in wanted]:
+                    _, b, _, _ = _passing(p, np.full(a, a), np.arange(a))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), p["uid"][a])), pa.array(np.full(len(b), p["line"][a], np.int32)), pa.array(p["uid"][b]), pa.array(p["line"][b].astype(np.int32))], names=["uid", "line", "uid2", "line2"])
 
+    return joined.mapInArrow(tidy(run), "uid long, line int, uid2 long, line2 int").distinct()
 
-def _tokens_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(uid2, line2, tokens): packed tokens of the lines asked for."""
-    asked = checkpointed(lines.groupBy("uid2").agg(F.array_sort(F.collect_set("line2")).alias("asked")))
-    joined = attached(docs.withColumnRenamed("uid", "uid2"), asked, "uid2", "inner").select("uid2", "text", "asked")
+
+def _texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(uid, line, packed): the compressed text of the lines asked for."""
+    asked = checkpointed(lines.groupBy("uid").agg(F.array_sort(F.collect_set("line")).alias("asked")))
+    joined = attached(docs, asked, "uid", "inner").select("uid", "text", "asked")
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column("text"), STEP_BYTES):
-                sets = line_sets(data, offsets)
-                wanted = batch.column("asked").slice(lo, hi - lo)
-                counts = wanted.value_lengths().to_numpy()
-                keys = np.repeat(np.arange(hi - lo), counts) << 32 | wanted.flatten().to_numpy().astype(np.int64)
-                at = np.searchsorted((sets.text << 32) | sets.line, keys)
-                uids = np.repeat(batch.column("uid2").slice(lo, hi - lo).to_numpy(), counts)
-                packed = [sets.tokens[a : a + n].tobytes() for a, n in zip(sets.heads[at].tolist(), sets.sizes[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(uids), wanted.flatten(), pa.array(packed, pa.binary())], names=["uid2", "line2", "tokens"])
+            uids, lines, out = [], [], []
+            for uid, text, asked in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
+                own = text.as_py().encode().split(b"\n")
+                uids += [uid] * len(asked)
+                lines += asked
+                out += [zlib.compress(own[k], 1) for k in asked]
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(lines, pa.int32()), pa.array(out, pa.binary())], names=["uid", "line", "packed"])
 
-    return joined.mapInArrow(run, "uid2 long, line2 int, tokens binary")
+    return joined.mapInArrow(tidy(run), "uid long, line int, packed binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(uid, line, held): whether any of a line's proposed earlier lines has the similarity."""
-    tokens = _tokens_of(docs, pairs.select("uid2", "line2"))
-    sent = pairs.join(tokens, ["uid2", "line2"]).groupBy("uid").agg(F.collect_list(F.struct("line", "tokens")).alias("sent"))
-    joined = attached(docs, checkpointed(sent), "uid", "inner").select("uid", "text", "sent")
+    """(uid, line, held): whether any of a line's proposed earlier lines has the similarity, by their words."""
+    both = pairs.select("uid", "line").union(pairs.select("uid2", "line2"))
+    texts = checkpointed(_texts_of(docs, both))
+    known = pairs.join(texts.withColumnsRenamed({"uid": "uid2", "line": "line2", "packed": "packed2"}), ["uid2", "line2"]).join(texts, ["uid", "line"])
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column("text"), STEP_BYTES):
-                sets = line_sets(data, offsets)
-                keys = (sets.text << 32) | sets.line
-                uids, out = batch.column("uid").slice(lo, hi - lo).to_pylist(), []
-                for k, sent in enumerate(batch.column("sent").slice(lo, hi - lo).to_pylist()):
-                    for x in sent:
-                        at = int(np.searchsorted(keys, (k << 32) | x["line"]))
-                        own = sets.tokens[sets.heads[at] : sets.heads[at] + sets.sizes[at]]
-                        other = np.frombuffer(x["tokens"], np.uint64)
-                        both = len(np.intersect1d(own, other, assume_unique=True))
-                        out.append((uids[k], x["line"], DEN * both >= NUM * (len(own) + len(other) - both)))
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["uid", "line", "held"])
+            held = []
+            for x, y in zip(batch.column("packed").to_pylist(), batch.column("packed2").to_pylist(), strict=True):
+                own, other = set(zlib.decompress(x).split()), set(zlib.decompress(y).split())
+                common = len(own & other)
+                held.append(DEN * common >= NUM * (len(own) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("line"), pa.array(held, pa.bool_())], names=["uid", "line", "held"])
 
-    return joined.mapInArrow(run, "uid long, line int, held boolean").groupBy("uid", "line").agg(F.max("held").alias("held"))
+    return known.select("uid", "line", "packed", "packed2").mapInArrow(tidy(run), "uid long, line int, held boolean").groupBy("uid", "line").agg(F.max("held").alias("held"))
 
 
 def repeated_lines(docs: DataFrame, proposed: int = PROPOSED) -> DataFrame:
     """(uid, gone): the numbers of the lines that go, of documents (uid, text)."""
     lines = checkpointed(_lines(docs))
     common = _most_common(lines)
-    sets = lines.where("kind = 0").select("h", "uid", "line")
+    sets = lines.where("bucket is null").select("h", "uid", "line")
     first = sets.groupBy("h").agg(F.min(F.struct("uid", "line")).alias("first"))
     same = sets.join(first, "h").where((F.col("first.uid") != F.col("uid")) | (F.col("first.line") != F.col("line"))).select("uid", "line")
-    postings = _postings(docs, common, max(64, docs.count() // DOCS_PER_BUCKET))
-    found = checkpointed(_pairs(postings, proposed).groupBy("uid", "line", "uid2", "line2").agg(F.max("more").alias("more")))
-    held = checkpointed(_verified(docs, found.drop("more")))
-    open_ = checkpointed(found.where("more").select("uid", "line").distinct().join(held.where("held"), ["uid", "line"], "left_anti"))
-    near = held.where("held").select("uid", "line")
-    if open_.limit(1).count():  # sets whose proposals all failed and that had more candidates
-        rest = checkpointed(_pairs(postings, None).drop("more").distinct().join(open_, ["uid", "line"], "left_semi"))
+    buckets = max(64, docs.count() // DOCS_PER_BUCKET)
+    found = checkpointed(_pairs(_postings(docs, common, buckets), proposed))
+    pairs = found.where("uid is not null")
+    near = checkpointed(_verified(docs, pairs.select("uid", "line", "uid2", "line2").distinct())).where("held").select("uid", "line")
+    # sets whose proposals all failed and that had more candidates: all of these
+    capped = pairs.where("more is not null").select("uid", "line", "more").distinct()
+    asked = checkpointed(capped.join(near, ["uid", "line"], "left_anti"))
+    if asked.limit(1).count():
+        rest = checkpointed(_rest(found.where("uid is null").select("more", "packed"), asked))
         near = near.unionByName(_verified(docs, rest).where("held").select("uid", "line"))
     # a set's first line is the one that was matched; its later lines went with ``same``
     return same.unionByName(near).groupBy("uid").agg(F.array_sort(F.collect_set("line")).alias("gone"))
