@@ -28,7 +28,7 @@ SPAN = WINDOW - GRAM + 1
 #: Rows of at most a hundred bytes or so each.
 BROADCAST_ROWS = 200_000
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BREAKS_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BREAKS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -126,7 +126,7 @@ def contamination(documents: DataFrame, items: DataFrame, key: str = "doc_id", t
     listed = listed.groupBy("key", "k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     listed = listed.withColumnsRenamed({"key": "key2", "k": "k2"})
     both = per_doc.join(listed, (F.col("k") == F.col("k2")) & F.col("key").eqNullSafe(F.col("key2"))).drop("key2", "k2").withColumnsRenamed({"key": "key2", "k": "k2"})
-    counted = docs.select("key", "k", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_BREAKS_ANY_CASE)).cast("long").alias("n_words"))
+    counted = docs.select("key", "k", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _BREAKS_ANY_CASE), "")).cast("long").alias("n_words"))
     none = F.array().cast("array<struct<s:int,m:int>>")
     return counted.join(both, (F.col("k") == F.col("k2")) & F.col("key").eqNullSafe(F.col("key2")), "left").select(
         F.col("key").alias(key),
