@@ -187,7 +187,7 @@ def tidy_group(meet):
 
     def wrapped(table: pa.Table) -> pa.Table:
         out = meet(table)
-        if table.nbytes > 1 << 19:
+        if table.nbytes > 1 << 22:
             _release()
         return out
 

@@ -43,7 +43,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 @dataclass
 class Sets:
-    """Sets of the lines of some texts that have words: tokens in the given order, line by line."""
+    """Sets of the lines of some texts that have words: tokens in the given order, line by line; and all distinct words with their counts."""
 
     text: np.ndarray
     line: np.ndarray
@@ -51,6 +51,8 @@ class Sets:
     sizes: np.ndarray
     tokens: np.ndarray
     hashes: np.ndarray
+    distinct: np.ndarray
+    counts: np.ndarray
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray, rank=None) -> Sets:
@@ -64,7 +66,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, rank=None) -> Sets:
     starts, ends, line = words_of(data, np.append(at, len(data)), _SPACE)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Sets(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Sets(none, none, none, none, *[none.astype(np.uint64)] * 3, none)
     codes, distinct = pd.factorize(span_hashes(data, starts, ends))
     places = np.lexsort((distinct,) if rank is None else (distinct, rank(distinct)))
     ordered = distinct[places]
@@ -76,7 +78,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, rank=None) -> Sets:
     heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     sizes = np.diff(np.r_[heads, len(own)])
     hashes = mix64(np.add.reduceat(mix64(tokens ^ np.uint64(0x5851F42D4C957F2D)), heads) + sizes.astype(np.uint64))
-    return Sets(text[own[heads]], number[own[heads]], heads, sizes, tokens, hashes)
+    return Sets(text[own[heads]], number[own[heads]], heads, sizes, tokens, hashes, distinct, np.bincount(codes, minlength=len(distinct)))
 
 
 class _Heavy:
@@ -85,9 +87,8 @@ class _Heavy:
     def __init__(self):
         self.parts, self.held = [], 0
 
-    def add(self, tokens: np.ndarray) -> None:
-        codes, distinct = pd.factorize(tokens)
-        self.parts.append((distinct, np.bincount(codes)))
+    def add(self, distinct: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((distinct, counts))
         self.held += len(distinct)
         if self.held > 8 * COMMON:
             self.parts = [self.most(4 * COMMON)]
@@ -118,7 +119,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in text_chunks(batch.column("text"), STEP_BYTES):
                 sets = line_sets(data, offsets)
                 if len(n := sets.heads):
-                    heavy.add(sets.tokens)
+                    heavy.add(sets.distinct, sets.counts)
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), pa.array(sets.hashes.view(np.int64)), pa.array(uids[lo:hi][sets.text]), pa.array(sets.line.astype(np.int32)), pa.nulls(len(n), pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
         tokens, counts = heavy.most(COMMON)
         bucket = (mix64(tokens) % np.uint64(COUNT_BUCKETS)).astype(np.int64)
@@ -258,23 +259,23 @@ def _passing(p: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np
     return a[fits], b[fits], differ[fits], (2 * differ <= most)[fits]
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, likely: np.ndarray, proposed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each a the ``proposed`` b (more, by DOUBTFUL, if the nearest is doubtful) that differ least, the earliest among equals; the bits; and whether there are more."""
+def _nearest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, likely: np.ndarray, proposed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each a the ``proposed`` b (more, by DOUBTFUL, if the nearest is doubtful) that differ least, the earliest among equals; and whether there are more."""
     order = np.lexsort((b, differ, a))
-    a, b, differ, likely = a[order], b[order], differ[order], likely[order]
+    a, b, likely = a[order], b[order], likely[order]
     first = np.searchsorted(a, a)
     place, many = np.arange(len(a)) - first, np.searchsorted(a, a, side="right") - first
     most = np.where(likely[first], proposed, proposed + DOUBTFUL)
     keep = place < most
-    return a[keep], b[keep], differ[keep], (many > most)[keep]
+    return a[keep], b[keep], (many > most)[keep]
 
 
 #: A pair; or, with uid null, the postings of the group more = bucket << 32 | tok. more of a pair: null, or that group, if it holds more candidates of the set than were proposed.
-_PAIRS = "uid long, line int, uid2 long, line2 int, differ int, more long, packed binary"
+_PAIRS = "uid long, line int, uid2 long, line2 int, more long, packed binary"
 
 
 def candidates(p: dict[str, np.ndarray], proposed: int) -> tuple[np.ndarray, ...]:
-    """(later, earlier, bits in which they differ, whether more could be proposed), the first two as row numbers of p, which gets ordered."""
+    """(later, earlier, whether more could be proposed), the first two as row numbers of p, which gets ordered."""
     place = np.empty(len(p["tok"]), np.int64)
     place[np.lexsort((p["line"], p["uid"]))] = np.arange(len(place))
     tok = p["tok"].astype(np.uint64) << np.uint64(32)
@@ -295,7 +296,7 @@ def candidates(p: dict[str, np.ndarray], proposed: int) -> tuple[np.ndarray, ...
         p[k] = p[k][order]
     heads = np.flatnonzero(np.r_[True, p["tok"][1:] != p["tok"][:-1]])
     sizes = np.diff(np.r_[heads, len(p["tok"])])
-    later, earlier, bits, more = [], [], [], []
+    later, earlier, more = [], [], []
     little = sizes <= SMALL
     rows = ranges(heads[little], sizes[little])
     before = rows - np.repeat(heads[little], sizes[little])
@@ -303,20 +304,20 @@ def candidates(p: dict[str, np.ndarray], proposed: int) -> tuple[np.ndarray, ...
     for cut in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(before) // step)) + 1) if len(rows) else []:
         a = np.repeat(rows[cut], before[cut])
         b = ranges(rows[cut] - before[cut], before[cut])
-        a, b, differ, left = _nearest(*_passing(p, a, b), proposed)
-        later.append(a), earlier.append(b), bits.append(differ), more.append(left)
+        a, b, left = _nearest(*_passing(p, a, b), proposed)
+        later.append(a), earlier.append(b), more.append(left)
     for head, size in zip(heads[~little].tolist(), sizes[~little].tolist(), strict=True):
         for first in range(head, head + size, 256):
             own = np.arange(first, min(first + 256, head + size))
             for begin in range(head, int(own[-1]), 4096):  # earlier sets, the earliest first, until each has candidates
                 others = np.arange(begin, min(begin + 4096, int(own[-1])))
                 a, b = np.repeat(own, len(others)), np.tile(others, len(own))
-                a, b, differ, left = _nearest(*_passing(p, a[b < a], b[b < a]), proposed)
-                later.append(a), earlier.append(b), bits.append(differ), more.append(left | (begin + 4096 < a))
+                a, b, left = _nearest(*_passing(p, a[b < a], b[b < a]), proposed)
+                later.append(a), earlier.append(b), more.append(left | (begin + 4096 < a))
                 own = np.setdiff1d(own, a)
                 if not len(own):
                     break
-    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((later, np.int64), (earlier, np.int64), (bits, np.int32), (more, bool)))
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((later, np.int64), (earlier, np.int64), (more, bool)))
 
 
 def _pairs(postings: DataFrame, proposed: int) -> DataFrame:
@@ -324,7 +325,7 @@ def _pairs(postings: DataFrame, proposed: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         p = _unpacked(table.column("packed").to_pylist())
-        a, b, differ, more = candidates(p, proposed)
+        a, b, more = candidates(p, proposed)
         group = (table.column("bucket")[0].as_py() << 32) | p["tok"].astype(np.int64)
         kept = np.unique(group[a[more]])
         begin, end = np.searchsorted(group, kept), np.searchsorted(group, kept, side="right")
@@ -333,7 +334,7 @@ def _pairs(postings: DataFrame, proposed: int) -> DataFrame:
             sigs = p["sigs"][ranges(p["sat"][x:y], _width(p["size"][x:y]))]
             packed.append(_packed({name: p[name][x:y] for name, _ in _PACK}, sigs))
         n, m = len(a), len(kept)
-        columns = [p["uid"][a], p["line"][a].astype(np.int32), p["uid"][b], p["line"][b].astype(np.int32), differ.astype(np.int32)]
+        columns = [p["uid"][a], p["line"][a].astype(np.int32), p["uid"][b], p["line"][b].astype(np.int32)]
         out = [pa.concat_arrays([pa.array(c), pa.nulls(m, pa.array(c).type)]) for c in columns]
         out += [pa.concat_arrays([pa.array(group[a], pa.int64(), mask=~more), pa.array(kept, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(packed, pa.binary())])]
         return pa.table(out, names=[f.split()[0] for f in _PAIRS.split(", ")])
@@ -399,7 +400,9 @@ def repeated_lines(docs: DataFrame, proposed: int = PROPOSED) -> DataFrame:
     lines = checkpointed(_lines(docs))
     common = _most_common(lines)
     sets = lines.where("bucket is null").select("h", "uid", "line")
-    first = sets.groupBy("h").agg(F.min(F.struct("uid", "line")).alias("first"))
+    # of sets with several lines only, and cut off, so that the join below can be split where a line is very frequent
+    first = sets.groupBy("h").agg(F.min(F.struct("uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    first = checkpointed(first)
     same = sets.join(first, "h").where((F.col("first.uid") != F.col("uid")) | (F.col("first.line") != F.col("line"))).select("uid", "line")
     buckets = max(64, docs.count() // DOCS_PER_BUCKET)
     found = checkpointed(_pairs(_postings(docs, common, buckets), proposed))
