@@ -170,8 +170,16 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Rows of an Arrow batch: ten thousand long texts, held by Spark and by the worker, would be too much for small executors.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def tidy(run):
-    """For mapInArrow: run, with memory given back at the end of the task."""
+    """For mapInArrow: run, with memory given back at the end of the task. Lowers the session's rows of a batch to BATCH_ROWS if they are more."""
+    session = SparkSession.getActiveSession()
+    if session is not None and not 0 < int(session.conf.get(_ROWS_SETTING, "10000")) <= BATCH_ROWS:
+        session.conf.set(_ROWS_SETTING, BATCH_ROWS)
 
     def wrapped(batches):
         try:
