@@ -14,8 +14,8 @@ similarity of their sets is ``NUM/DEN`` = 0.8 or more.
    Links join sets into groups by label propagation with pointer jumping.
 
 Defined cases: null and empty texts have no shingles and no links; very long texts are read whole; documents that repeat an id or have
-none are told apart by id and text, and rows that repeat both are one document; other columns are kept, and clashes with the new
-ones raise ValueError; empty tables stay empty.
+none are told apart by id and text, in the order of ids, null ones last, then of a hash, and rows that repeat both are one document (sent once);
+a group is named by the id of its least document, null if all have none; other columns are kept, and clashes with the new ones raise ValueError; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figlake.llm.common import attached, checkpointed, fresh, identified, mix64, ranges, span_hashes, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import attached, checkpointed, fresh, identified, mix64, plain, ranges, span_hashes, text_chunks, tidy, tidy_group, words_of
 
 NUM, DEN, WORDS = 4, 5, 5
 CHOSEN, DEPTH, TARGET = 8, 6, 0.999995
@@ -320,24 +320,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return same.join(of_class, "same").select("uid", "group", "links")
 
 
+def _documents(df: DataFrame, key: str, text: str, uid: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their document's identity, and the documents: of rows that repeat id and text, one."""
+    number = fresh(df, "_number")
+    rows = identified(df, key, text, number, first=uid)
+    return rows.drop(number), rows.where(F.col(number) == F.col(uid)).drop(number)
+
+
 def with_groups(df: DataFrame, key: str = "doc_id", text: str = "text", group: str = "group_id", links: str = "n_links") -> DataFrame:
-    """Adds a document's group (the identity of its least document; its own if it has no links) and its number of links."""
+    """Adds a document's group (the id of its least document; its own if it has no links) and its number of links."""
     if {group.lower(), links.lower()} & {c.lower() for c in df.columns}:
         raise ValueError("the table has a column of a new column's name already")
-    uid, near, many = fresh(df, "_uid"), fresh(df, "_group"), fresh(df, "_links")
-    rows = identified(df, key, text, uid)
-    docs = rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
-    found = checkpointed(near_duplicates(docs).withColumnsRenamed({"uid": uid, "group": near, "links": many}))
-    joined = attached(rows, found, uid)
-    return joined.withColumn(group, F.coalesce(F.col(near), F.col(uid))).withColumn(links, F.coalesce(F.col(many), F.lit(0).cast("long"))).drop(uid, near, many)
+    uid, near, many, name = fresh(df, "_uid"), fresh(df, "_group"), fresh(df, "_links"), fresh(df, "_name")
+    rows, docs = _documents(df, key, text, uid)
+    found = near_duplicates(docs.select(F.col(uid).alias("uid"), F.col(text).alias("text"))).withColumnsRenamed({"uid": uid, "group": near, "links": many})
+    if plain(df, key):
+        found = found.withColumn(name, F.col(near))
+    else:
+        found = found.join(docs.select(F.col(uid).alias(near), F.col(key).alias(name)), near)
+    joined = attached(rows, checkpointed(found.select(uid, name, many)), uid)
+    own = F.when(F.col(many).isNull(), F.col(key)).otherwise(F.col(name))
+    return joined.withColumn(group, own).withColumn(links, F.coalesce(F.col(many), F.lit(0).cast("long"))).drop(uid, name, many)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that are the least document of their group; of rows that repeat id and text one stays."""
     uid, near = fresh(df, "_uid"), fresh(df, "_group")
-    rows = identified(df, key, text, uid)
-    found = near_duplicates(rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))).where(F.col("group") != F.col("uid"))
+    _, docs = _documents(df, key, text, uid)
+    found = near_duplicates(docs.select(F.col(uid).alias("uid"), F.col(text).alias("text"))).where(F.col("group") != F.col("uid"))
     gone = checkpointed(found.select(F.col("uid").alias(uid), F.lit(True).alias(near)))
-    left = attached(rows, gone, uid).where(F.col(near).isNull()).drop(near)
-    repeated = rows.groupBy(uid).count().where("count > 1").limit(1).count()
-    return (left.dropDuplicates([uid]) if repeated else left).drop(uid)
+    return attached(docs, gone, uid).where(F.col(near).isNull()).drop(near, uid)

@@ -135,13 +135,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ELEMENTS = 1_500_000
 
 
-def identified(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
-    """Adds a row's identity: its key where keys are integers, never null and never repeated; else a hash of key and text, by which rows that repeat both are one."""
+def plain(df: DataFrame, key: str) -> bool:
+    """Whether keys are integers, never null and never repeated, so that they are the rows' identities as they are."""
     whole = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
-    keys = df.select(F.col(key).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key is null")
-    if whole and not keys.limit(1).count():
-        return df.withColumn(out, F.col(key).cast("long"))
-    return df.withColumn(out, F.xxhash64(key, text))
+    return whole and not _unclear(df, key).limit(1).count()
+
+
+def _unclear(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): the keys that are null or that n > 1 rows have."""
+    return df.groupBy(F.col(key)).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
+
+
+def identified(df: DataFrame, key: str, text: str, out: str, first: str | None = None) -> DataFrame:
+    """Adds a number of each row's own, in the order of keys, null ones last, then of the texts' hashes; and in ``first`` the least number of the rows that repeat its key and text.
+
+    The number is the key itself where keys are plain. Else rows whose key is not repeated get their number from the key alone; the others (all, if keys are no
+    integers or would not fit) are written to a checkpoint, as numbers of equal rows must not change from one reading to the next.
+    """
+    if plain(df, key):
+        numbered = df.withColumn(out, F.col(key).cast("long"))
+        return numbered.withColumn(first, F.col(out)) if first else numbered
+    at, group, place, begin, head, hashed = (fresh(df, c) for c in ("_at", "_group", "_place", "_begin", "_head", "_hash"))
+    base = most = None
+    if df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
+        found = df.agg(F.min(key), F.max(key), F.count_if(F.col(key).isNull())).first()
+        unclear = checkpointed(_unclear(df, key).where(F.col(key).isNotNull()))
+        low, high = (found[0], found[1]) if found[0] is not None else (0, 0)
+        most = max(unclear.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0], found[2], 1)
+        if (high - low + 2) * most < 1 << 63:
+            base = lambda k: (F.coalesce(k.cast("decimal(20,0)"), F.lit(high + 1).cast("decimal(20,0)")) - F.lit(low).cast("decimal(20,0)")).cast("long") * F.lit(most)
+    some, clear = df, None
+    if base:
+        keyed = df.where(F.col(key).isNotNull())
+        clear = attached(keyed, unclear.select(key), key, "left_anti").withColumn(out, base(F.col(key)))
+        some = attached(keyed, unclear.select(key), key, "left_semi").unionByName(df.where(F.col(key).isNull()))
+    some = checkpointed(some.withColumn(at, F.monotonically_increasing_id()))
+    ordered = some.select(F.col(key).alias(group), F.xxhash64(text).alias(hashed), at).orderBy(F.col(group).asc_nulls_last(), hashed, at)
+    ordered = checkpointed(ordered.withColumn(place, F.monotonically_increasing_id()))  # ascending, but with gaps between partitions
+    part = F.shiftrightunsigned(place, 33)
+    sizes = {r.part: r.n for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    begins, total = [], 0
+    for k in sorted(sizes):
+        begins.append((k, total))
+        total += sizes[k]
+    begins = df.sparkSession.createDataFrame(begins, f"{head} long, {begin} long")
+    ordered = ordered.join(F.broadcast(begins), part == F.col(head)).withColumn(place, F.col(begin) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(begin, head)
+
+    def least(by: list[str], name: str) -> DataFrame:
+        """Adds the least place of the rows that are equal in ``by``; a join, as one value may have very many rows."""
+        heads = ordered.groupBy(*by).agg(F.min(place).alias(name)).withColumnsRenamed({c: f"{c}2" for c in by})
+        alike = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in by]
+        return ordered.join(heads, alike).drop(*[f"{c}2" for c in by])
+
+    if base:
+        ordered = least([group], begin)
+        shift = base(F.col(group)) - F.col(begin)
+    else:
+        shift = F.lit(0)
+    ordered = least([group, hashed], head)
+    numbers = checkpointed(ordered.select(at, (F.col(place) + shift).alias(out), (F.col(head) + shift).alias(first or head)))
+    some = checkpointed(attached(some, numbers if first else numbers.drop(head), at, "inner").drop(at))
+    if clear is None:
+        return some
+    return (clear.withColumn(first, F.col(out)) if first else clear).unionByName(some)
 
 
 def attached(df: DataFrame, side: DataFrame, on: str, how: str = "left", small: bool = True) -> DataFrame:

@@ -13,8 +13,8 @@ similarity of ``NUM/DEN`` = 0.8 or more with it. Steps:
    than were proposed and none held, all its candidates are verified, from the groups that were kept for that.
 
 Defined cases: lines without words stay and match nothing; null texts stay null, empty ones empty; very long texts and
-lines are read whole; documents that repeat an id or have none are told apart by id and text, in the order of a hash, and rows that repeat both
-get the same result; other columns are kept under their names; an empty table stays empty.
+lines are read whole; documents come in the order of their ids, null ones last; those that repeat an id or have none in the order of a hash of their text, and rows that
+repeat both one after the other, so that later copies lose their lines; other columns are kept under their names; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ computed from the window alone. Of the sure symbols of the highest round each wi
    and compared one by one.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Defined cases: null and empty texts have no words and stay as they are; very long texts are
-read whole; documents that repeat an id or have none are told apart by id and text; rows that repeat both have each other's passages, so
+read whole; rows are told apart though they repeat an id or have none; rows that repeat id and text have each other's passages, so
 they count as repeats; other columns are kept, clashes with new ones raise ValueError; an empty table stays empty.
 """
 

@@ -269,3 +269,40 @@ def test_digests_of_queries(spark, tmp_path):
         assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
     for r in queries.op5_recompression(spark, str(tmp_path)).collect():
         assert r.kept_sha256 == hashlib.sha256(" ".join((dict(rows)[r.doc_id] or "").split()).encode()).hexdigest()
+
+
+def untidy_rows():
+    """Repeated rows, repeated ids and null ids beside documents with good ones."""
+    rng = random.Random(6)
+    line = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(14))
+    near = lambda t: t.replace(t.split()[-1], "changed")
+    texts = [f"{line()}\n{line()}\n{line()}" for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(-3, near(texts[0])), (40, near(texts[1])), (41, texts[1] + " tail")]
+    return rows + [(5, texts[5])] * 4 + [(7, near(texts[3]))] + [(None, line())] * 3 + [(None, texts[2]), (None, None), (None, None), (9, None)]
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 58])
+def test_untidy_ids_keep_their_order(spark, scale):
+    rows = [(None if k is None else k * scale, t) for k, t in untidy_rows() if scale == 1 or k is None or abs(k) < 20]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    removed = defaultdict(list)
+    for r in line_dedup.dedup_lines(df).collect():
+        removed[r.doc_id].append(tuple(r.removed_lines))
+    none, whole = (), (0, 1, 2)
+    want = {k * scale: [none] for k in [-3, 1, 2, 3, 4, 6, 8, 10, 11]} | {0: [whole], 5 * scale: [none, *[whole] * 4], 7 * scale: [none, whole], 9 * scale: [none, none]}
+    if scale == 1:
+        want |= {40: [whole], 41: [whole]}
+    want[None] = [none, none, none, (0,), (0,), whole]  # null texts, and three rows of one line
+    assert {k: sorted(v) for k, v in removed.items()} == want
+
+    groups = defaultdict(set)
+    for r in chosen_path.with_groups(df).collect():
+        groups[r.doc_id].add((r.group_id, r.n_links))
+    documents = list(dict.fromkeys(rows))
+    documents.sort(key=lambda x: (x[0] is None, x[0] or 0))
+    want = defaultdict(set)
+    for n, (g, links) in linked(dict(enumerate(t for _, t in documents))).items():
+        want[documents[n][0]].add((documents[g][0], links))
+    assert groups == want
+    left = chosen_path.one_of_each(df).collect()
+    assert Counter(r.doc_id for r in left) == Counter(documents[n][0] for n, (g, _) in linked(dict(enumerate(t for _, t in documents))).items() if g == n)
