@@ -44,6 +44,24 @@ def test_templates_are_deleted_outside_articles(spark):
         html_extract.extract(df.withColumnRenamed("_host", "text"))
 
 
+def test_templates_are_deleted_inside_articles(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    box, long_box, copied = "<div><h2>About us</h2><p>We write on many things. Sign up.</p></div>", f"<section><p>{say(70)}</p></section>", [say(30) for _ in range(4)]
+    rows, want = [], {}
+    for k in range(200):  # few pages of many: an absolute count
+        own = [say(20), say(60), say(60)]
+        with_box = k < 6
+        rows.append((k, f"https://big.example/{k}", f"<body><main><h2>Notes</h2><p>{own[0]}</p>{box + long_box if with_box else ''}<p>{own[1]}</p><p>{own[2]}</p><table><tr><td>0</td><td>{k}</td></tr></table></main></body>"))
+        want[k] = f"Notes\n{own[0]}\n{own[1]}\n{own[2]}\n0\n{k}"
+    for k in range(200, 212):  # copies of an article, some with a date of their own
+        date = f"<p>Day {k}</p>" if k % 2 else ""
+        rows.append((k, f"https://big.example/{k}", f"<body><article>{date}{''.join(f'<p>{t}</p>' for t in copied)}{box}</article></body>"))
+        want[k] = "\n".join(([f"Day {k}"] if date else []) + copied)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(bitslice, "ROW_BLOCK", 150)
     monkeypatch.setattr(bitslice, "QUERY_BLOCK", 2)
