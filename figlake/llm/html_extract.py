@@ -2,7 +2,7 @@
 
 Pages are read by a small tolerant parser (unclosed and misnested tags, raw-text elements, truncated pages). Elements
 that are boilerplate by their nature are dropped: menus, headers and footers of the page, sidebars, notices, adverts,
-forms, comments of readers, scripts, styles. Then site templates: block subtrees are hashed, counted per host in Spark, and
+forms, comments of readers, scripts, styles. They end as other elements do: with their own end, an implied one, or that of a parent. Then site templates: block subtrees are hashed, counted per host in Spark, and
 deleted from ``MIN_PAGES`` on, however large the host is. Outside the article, and for link lists anywhere, pages are counted. Inside the article (``article``,
 ``main`` or role=main; pages that have one keep nothing else) all copies of an article recur with all they hold, so there the different surroundings are counted:
 the longest block of text elsewhere in the article. Hosts where that finds templates are read again without these, until no more are found. Subtrees that are more than half of
@@ -72,10 +72,10 @@ def _hash(data: bytes) -> int:
 
 
 class _Open:
-    __slots__ = ("tag", "inside", "digest", "has_text", "linked", "length", "start")
+    __slots__ = ("tag", "inside", "digest", "has_text", "linked", "length", "start", "dropped")
 
-    def __init__(self, tag: str, inside: bool, start: int):
-        self.tag, self.inside, self.start = tag, inside, start
+    def __init__(self, tag: str, inside: bool, start: int, dropped: bool = False):
+        self.tag, self.inside, self.start, self.dropped = tag, inside, start, dropped
         self.digest, self.has_text = blake2b(tag.encode(), digest_size=8), False
         self.linked = self.length = 0
 
@@ -123,10 +123,12 @@ class Page:
 
     def _close(self) -> None:
         node = self.stack[-1]
-        if node.tag in _BLOCKS:
+        if node.tag in _BLOCKS and not node.dropped:
             self._break()
         self.stack.pop()
         self.anchors -= node.tag == "a"
+        if node.dropped:
+            return
         above = self.stack[-1]
         digest = node.digest.digest()
         above.digest.update(digest)
@@ -170,9 +172,11 @@ class Page:
             if longest is not None and sizes[longest]:
                 self.hashes.setdefault(value, _hash(self.all[first + longest][1].encode("utf-8", "surrogatepass")))
 
-    def _open(self, tag: str, inside: bool) -> None:
+    def _imply(self, tag: str) -> None:
+        """Closes what the start of a block ends."""
         if tag in _BLOCKS:
-            self._break()
+            if not self.stack[-1].dropped:
+                self._break()
             closes = _CLOSES.get(tag)
             for at in range(len(self.stack) - 1, 0, -1):
                 name = self.stack[at].tag
@@ -180,36 +184,29 @@ class Page:
                     while len(self.stack) > at:
                         self._close()
                     break
-                if name in _SCOPES and name != "td" and name != "th" or name in ("td", "th") and not closes:
+                if name in _DROPPED or name in _SCOPES and name != "td" and name != "th" or name in ("td", "th") and not closes:
                     break
+
+    def _open(self, tag: str, inside: bool, dropped: bool) -> None:
         if tag == "a":
             self.anchors += 1
         if inside and not self.stack[-1].inside:
             self._break()
-        self.stack.append(_Open(tag, inside, len(self.all)))
+        self.stack.append(_Open(tag, inside, len(self.all), dropped))
 
     def _read(self, html: str) -> None:
-        at, skipped, depth = 0, "", 0
+        at = 0
         for token in _TOKEN.finditer(html):
             if token.start() < at:
                 continue
-            if not skipped and token.start() > at:
+            if token.start() > at and not self.stack[-1].dropped:
                 self._text(html[at : token.start()])
             at = token.end()
             tag = (token[2] or token[5] or "").lower()
             if not tag:
                 continue
-            closing = bool(token[1] or token[4])
-            if skipped:  # inside a dropped element: only its own tags matter
-                if tag == skipped:
-                    depth += -1 if closing else 1
-                    if not depth:
-                        skipped = ""
-                elif tag in _RAW and not closing:
-                    at = self._raw_end(html, tag, at)
-                continue
-            if closing:
-                if tag == "br":
+            if token[1] or token[4]:
+                if tag == "br" and not self.stack[-1].dropped:
                     self.run.append(" ")
                 for k in range(len(self.stack) - 1, 0, -1):
                     if self.stack[k].tag == tag:
@@ -219,35 +216,30 @@ class Page:
                 continue
             raw = token[3] if token[2] else token[6]
             if tag in _VOID:
-                self.run.append(" ") if tag == "br" else self._break() if tag == "hr" else None
+                if not self.stack[-1].dropped:
+                    self.run.append(" ") if tag == "br" else self._break() if tag == "hr" else None
+                continue
+            empty = raw.rstrip().endswith("/")
+            if tag in _RAW:
+                if not (empty and tag in ("svg", "math")):
+                    at = self._raw_end(html, tag, at)
+                continue
+            self._imply(tag)
+            above = self.stack[-1]
+            if above.dropped:  # inside a dropped element tags matter only for where it ends
+                self._open(tag, above.inside, True)
                 continue
             attributes = _attributes(raw)
             main = tag in ("article", "main") or attributes.get("role", "").lower() == "main"
-            inside = main or self.stack[-1].inside
-            if _boilerplate(tag, attributes, self.stack[-1].inside):
-                if tag in _BLOCKS or tag == "nav":
-                    self._break()
-                if tag in _RAW:
-                    at = self._raw_end(html, tag, at)
-                elif not raw.rstrip().endswith("/") or tag in _BLOCKS:
-                    if tag in _BLOCKS:
-                        self._leave_paragraph()
-                    skipped, depth = tag, 1
+            if _boilerplate(tag, attributes, above.inside):
+                if not empty or tag in _BLOCKS:
+                    self._open(tag, above.inside, True)
                 continue
             self.has_article |= main
-            self._open(tag, inside)
-        if not skipped and at < len(html):
+            self._open(tag, main or above.inside, False)
+        if at < len(html) and not self.stack[-1].dropped:
             self._text(html[at:])
 
-    def _leave_paragraph(self) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == "p":
-                while len(self.stack) > k:
-                    self._close()
-                return
-            if self.stack[k].tag in _SCOPES:
-                return
-
     @staticmethod
     def _raw_end(html: str, tag: str, at: int) -> int:
         end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)

@@ -26,6 +26,15 @@ def test_main_text():
     assert main_text("<article>" * 400 + "deep" + "</article>" * 10) == "deep"
 
 
+def test_dropped_elements_end_where_others_do():
+    assert main_text('<article><p class="ad">Buy<p>Real text</article>') == "Real text"
+    assert main_text('<article><ul><li class="share">Share<li>Real</ul>More</article>') == "Real\nMore"
+    assert main_text('<article><div><span class="promo">Buy</div><p>Real</p></article>') == "Real"
+    assert main_text('<article><p>One<svg width="1"/> two<math/></p><p>Three</p><svg><text>x</text></svg></article>') == "One two\nThree"
+    assert main_text("<article><nav><ul><li>a<li>b<p>c</ul></nav><p>One <button><div>x</div></button>two</p></article>") == "One two"
+    assert main_text("<article><p>One</p><aside><p>x<article><p>y</article>z</article><p>Two") == "One"
+
+
 def test_templates_are_deleted_outside_articles(spark):
     share = '<div><ul><li><a href="/a">Share this</a></li></ul></div>'
     rows = []
