@@ -2,7 +2,8 @@
 
 Pages are read by a small tolerant parser (unclosed and misnested tags, raw-text elements, truncated pages). Elements
 that are boilerplate by their nature are dropped: menus, headers and footers of the page, sidebars, notices, adverts,
-forms, comments of readers, scripts, styles. They end as other elements do: with their own end, an implied one, or that of a parent. Then site templates: block subtrees are hashed, counted per host in Spark, and
+forms, comments of readers, scripts, styles. Inside the article class names and ids must be whole words of the list, and ids of
+sections and headings say nothing. Dropped elements end as others do: with their own end, an implied one, or that of a parent. Then site templates: block subtrees are hashed, counted per host in Spark, and
 deleted from ``MIN_PAGES`` on, however large the host is. Outside the article, and for link lists anywhere, pages are counted. Inside the article (``article``,
 ``main`` or role=main; pages that have one keep nothing else) all copies of an article recur with all they hold, so there the different surroundings are counted:
 the longest block of text elsewhere in the article. Hosts where that finds templates are read again without these, until no more are found. Subtrees that are more than half of
@@ -49,6 +50,7 @@ _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond popup modal overlay toolbar skip".split()
 )
+_TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
@@ -59,12 +61,16 @@ def _attributes(raw: str) -> dict[str, str]:
 def _boilerplate(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     if tag in _DROPPED or tag == "header" and not inside:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    classes, name = attributes.get("class", "").lower().split(), attributes.get("id", "").lower()
+    if tag == "article" and not inside:  # the page's text, unless a reader's
+        return not {"comment", "comments"}.isdisjoint(classes)
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
-    names = re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return not _MARKS.isdisjoint(names)
+    if inside:  # whole names only, as parts of them and ids of sections and headings come from what the text is about
+        return not _MARKS.isdisjoint(classes) or tag not in _TITLED and name in _MARKS
+    return not _MARKS.isdisjoint(re.split(r"[\s_-]+", " ".join([*classes, name])))
 
 
 def _hash(data: bytes) -> int:

@@ -35,6 +35,14 @@ def test_dropped_elements_end_where_others_do():
     assert main_text("<article><p>One</p><aside><p>x<article><p>y</article>z</article><p>Two") == "One"
 
 
+def test_marks_inside_articles_are_whole_names():
+    assert main_text('<article><section id="related-work"><h2 id="login-flow">Login</h2><p>Flow</p></section><section id="social-science">Social</section></article>') == "Login\nFlow\nSocial"
+    assert main_text('<article><section id="menu">Menu</section><div class="banner-year">Year</div><div class="x related">R</div><div id="comments">C</div></article>') == "Menu\nYear"
+    assert main_text('<main><p>Own</p><article class="comment"><p>First!</p></article><article><p>More</p></article></main>') == "Own\nMore"
+    assert main_text('<article class="post promo"><p>Own</p></article><article class="comment"><p>First!</p></article>') == "Own"
+    assert main_text('<body><div class="cookie-notice">Cookies</div><div id="site-menu">Menu</div><p>Own</p></body>') == "Own"
+
+
 def test_templates_are_deleted_outside_articles(spark):
     share = '<div><ul><li><a href="/a">Share this</a></li></ul></div>'
     rows = []
