@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from figlake.llm.common import ranges, span_hashes, string_buffers, text_chunks, tidy
+from figlake.llm.common import byte_hashes, ranges, same_bytes, string_buffers, text_chunks, tidy
 
 LETTER, NUMBER, OTHER, BLANK, SPACE, EDGE = range(6)
 #: White space as the pattern's \s has it, besides U+0020.
@@ -281,11 +281,10 @@ class Vocabulary:
         first[np.searchsorted(lead, begins)] = True
         starts = lead[piece_starts(points, first)]
         ends = np.r_[starts[1:], len(data)]
-        one, two = span_hashes(data, starts, ends, 0), span_hashes(data, starts, ends, 1)
-        codes, _ = pd.factorize(one)
+        codes, _ = pd.factorize(byte_hashes(data, starts, ends))
         first_of = np.empty(int(codes.max()) + 1, np.int64)
         first_of[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if not (two == two[first_of][codes]).all():  # two slices share a hash
+        if not same_bytes(data, starts, ends, first_of[codes]):  # two slices share a hash
             codes, distinct = pd.factorize(np.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object))
             pieces = list(distinct)
         else:

@@ -3,13 +3,15 @@
 A document is the set of its runs of five words (a document of fewer words is one shingle). Two documents are linked if the Jaccard
 similarity of their sets is ``NUM/DEN`` = 0.8 or more.
 
-1. In each of ``RUNS`` independent runs a set of size s chooses the shingles whose hash in that run is below ``CHOSEN / s``, so similar
-   sets choose the same ones. Equal sets count as one from here on, with their number kept.
-2. Shingles chosen by two sets or more split the sets into buckets. A pair at the threshold shares about 0.8 * RUNS * CHOSEN
-   chosen shingles; it is followed down the path of its smallest shared ones to ``DEPTH`` of them and compared in one bucket only,
-   that of the smallest. The chance to lose a pair at the threshold is that of a Poisson variable of mean 25.6 to stay under 6: 2e-6, by choice of RUNS (``lost``).
-3. Buckets of more than ``BLOCK`` sets are split into pairs of blocks. A bucket first tells which sets have a partner there; only
-   their shingles are sent there, and every pair is verified exactly.
+1. In each run a set of size s samples the shingles whose hash in that run is below ``CHOSEN / s``, so similar sets sample the same
+   ones. Runs are repeated until the chance to lose a pair is below 1 - ``TARGET``: ``RUNS`` of them (``lost``), as a pair at the threshold has to share
+   ``DEPTH`` of its sampled shingles and shares about 0.8 * RUNS * CHOSEN. Equal sets (by 128 bits) count as one from here on, with their number kept.
+2. The sets are split by their smallest sampled shingles; a bucket of more than ``LEAF`` sets is split again by a further
+   sampled shingle, and so on down the path, at most ``DEPTH`` times (``_split``). A pair goes down the path of its smallest shared ones and is
+   compared in one bucket only, the first small one on that path. Sets that share ``DENSE`` of their further shingles with the average set of a bucket would not be
+   told apart by more of them: these (families of near copies, as a rule), and sets at the end of their path, are compared with their whole bucket by blocks and go no further.
+3. Blocks hold ``BLOCK`` sets, so no task gets more than two of them. A bucket first tells which sets have a partner there; only
+   their shingles are sent there, and every pair is verified by all its shingles.
 4. A bucket returns, for each set, the documents linked to it and one link of a spanning forest, never all pairs.
    Links join sets into groups by label propagation with pointer jumping.
 
@@ -21,6 +23,7 @@ a group is named by the id of its least document, null if all have none; other c
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figlake.llm.common import attached, checkpointed, fresh, identified, mix64, plain, ranges, span_hashes, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, identified, mix64, plain, ranges, run_hashes, text_chunks, tidy, tidy_group, words_of
 
 NUM, DEN, WORDS = 4, 5, 5
 CHOSEN, DEPTH, TARGET = 8, 6, 0.999995
-BLOCK, SMALL = 4096, 48
+LEAF, BLOCK, DENSE, SMALL = 1024, 1024, 0.25, 48
 DOCS_PER_BUCKET = 1000
 STEP_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
@@ -54,13 +57,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    words = span_hashes(data, starts, ends)
+    words = byte_hashes(data, starts, ends)
     heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     counts = np.diff(np.r_[heads, len(owner)])
     many = np.maximum(counts - WORDS + 1, 1)
     begin = ranges(heads, many)
     of = np.repeat(np.arange(len(heads)), many)
-    hashes = span_hashes(words, begin, begin + np.minimum(counts, WORDS)[of])
+    hashes = run_hashes(words, begin, begin + np.minimum(counts, WORDS)[of])
     codes, distinct = pd.factorize(hashes)
     keys = np.sort((of << 32) | codes)
     keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
@@ -69,12 +72,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return owner[heads], first, np.diff(np.r_[first, len(of)]), distinct[keys & 0xFFFFFFFF]
 
 
-def _identity(tokens: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return mix64(np.add.reduceat(mix64(tokens ^ np.uint64(0x2545F4914F6CDD1D)), heads) + sizes.astype(np.uint64))
+def _identity(tokens: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each set."""
+    seeds = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xB492B66FBE98F273))
+    return tuple(mix64(np.add.reduceat(mix64(tokens ^ seed), heads) + sizes.astype(np.uint64)).view(np.int64) for seed in seeds)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(uid, same): the identity of each document's set."""
+    """(uid, same, same2): the identity of each document's set."""
 
     def run(batches):
         for batch in batches:
@@ -82,16 +87,17 @@ def _sets(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in text_chunks(batch.column("text"), STEP_BYTES):
                 text, heads, sizes, tokens = shingle_sets(data, offsets)
                 if len(heads):
-                    yield pa.RecordBatch.from_arrays([pa.array(uids[lo:hi][text]), pa.array(_identity(tokens, heads, sizes).view(np.int64))], names=["uid", "same"])
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[lo:hi][text]), *map(pa.array, _identity(tokens, heads, sizes))], names=["uid", "same", "same2"])
 
-    return docs.mapInArrow(tidy(run), "uid long, same long")
+    return docs.mapInArrow(tidy(run), "uid long, same long, same2 long")
 
 
-_PACK = (("tok", "<i8"), ("uid", "<i8"), ("same", "<i8"), ("size", "<i4"))
+_PACK = (("tok", "<i8"), ("uid", "<i8"), ("same", "<i8"), ("same2", "<i8"), ("size", "<i4"))
+_WIDTH = sum(np.dtype(kind).itemsize for _, kind in _PACK)
 
 
 def _chosen(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, packed): the shingles that each set chooses in all runs."""
+    """(bucket, packed): the shingles that each set samples in all runs."""
 
     def run(batches):
         for batch in batches:
@@ -100,10 +106,10 @@ def _chosen(docs: DataFrame, buckets: int) -> DataFrame:
                 text, heads, sizes, tokens = shingle_sets(data, offsets)
                 if not len(heads):
                     continue
-                same, own = _identity(tokens, heads, sizes), uids[lo:hi][text]
-                order = np.lexsort((own, same))
-                kept = np.zeros(len(same), bool)  # equal sets of a step choose once
-                kept[order[np.r_[True, same[order][1:] != same[order][:-1]]]] = True
+                (same, same2), own = _identity(tokens, heads, sizes), uids[lo:hi][text]
+                order = np.lexsort((own, same2, same))
+                kept = np.zeros(len(same), bool)  # equal sets of a step are sampled once
+                kept[order[np.r_[True, (same[order][1:] != same[order][:-1]) | (same2[order][1:] != same2[order][:-1])]]] = True
                 of = np.repeat(np.arange(len(heads)), sizes)
                 bound = (np.minimum(CHOSEN / sizes, 1.0) * float(1 << 53)).astype(np.int64)[of]
                 pick = np.zeros(len(tokens), bool)
@@ -114,7 +120,7 @@ def _chosen(docs: DataFrame, buckets: int) -> DataFrame:
                 bucket = (mix64(tok) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 of, tok, bucket = of[order], tok[order], bucket[order]
-                columns = [tok.view(np.int64), own[of], same[of].view(np.int64), sizes[of].astype(np.int32)]
+                columns = [tok.view(np.int64), own[of], same[of], same2[of], sizes[of].astype(np.int32)]
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
                 packed = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
@@ -123,25 +129,25 @@ def _chosen(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _shared(chosen: DataFrame) -> DataFrame:
-    """(uid, size, tok, n): chosen shingles that n >= 2 different sets chose; an equal set is known by its least uid."""
+    """(uid, size, tok): sampled shingles that two different sets or more have; an equal set is known by its least uid."""
 
     def meet(table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[] for _ in _PACK]
         for blob in table.column("packed").to_pylist():
-            n, at = len(blob) // 28, 0
+            n, at = len(blob) // _WIDTH, 0
             for out, (_, kind) in zip(parts, _PACK, strict=True):
                 out.append(np.frombuffer(blob, kind, n, at))
                 at += n * np.dtype(kind).itemsize
-        tok, uid, same, size = (np.concatenate(x) for x in parts)
-        order = np.lexsort((uid, same, tok))
-        tok, uid, same, size = tok[order], uid[order], same[order], size[order]
-        new = np.r_[True, (tok[1:] != tok[:-1]) | (same[1:] != same[:-1])]
+        tok, uid, same, same2, size = (np.concatenate(x) for x in parts)
+        order = np.lexsort((uid, same2, same, tok))
+        tok, uid, same, same2, size = tok[order], uid[order], same[order], same2[order], size[order]
+        new = np.r_[True, (tok[1:] != tok[:-1]) | (same[1:] != same[:-1]) | (same2[1:] != same2[:-1])]
         tok, uid, size = tok[new], uid[new], size[new]
         _, at, n = np.unique(tok, return_inverse=True, return_counts=True)
         more = n[at] >= 2
-        return pa.table({"uid": uid[more], "size": size[more], "tok": (tok[more] >> 32).astype(np.int32), "n": n[at][more].astype(np.int32)})
+        return pa.table({"uid": uid[more], "size": size[more], "tok": (tok[more] >> 32).astype(np.int32)})
 
-    return chosen.groupBy("bucket").applyInArrow(tidy_group(meet), "uid long, size int, tok int, n int")
+    return chosen.groupBy("bucket").applyInArrow(tidy_group(meet), "uid long, size int, tok int")
 
 
 def _padded(lists: pa.ListArray) -> np.ndarray:
@@ -152,16 +158,16 @@ def _padded(lists: pa.ListArray) -> np.ndarray:
     return out
 
 
-def _common(lists: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number, smallest) of the shared chosen shingles of the pairs."""
-    count, least = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+def _common(lists: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shared sampled shingles of the pairs: how many there are, and how many up to the last of the path."""
+    count, passed = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     none = np.iinfo(np.int64).max
     for lo in range(0, len(a), 4096):
-        x, y = lists[a[lo : lo + 4096]], lists[b[lo : lo + 4096]]
+        at = slice(lo, lo + 4096)
+        x, y = lists[a[at]], lists[b[at]]
         both = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x != none)
-        count[lo : lo + 4096] = both.sum(axis=1)
-        least[lo : lo + 4096] = np.where(both, x, none).min(axis=1)
-    return count, least
+        count[at], passed[at] = both.sum(axis=1), (both & (x <= last[a[at]][:, None])).sum(axis=1)
+    return count, passed
 
 
 def _pairs(heads: np.ndarray, sizes: np.ndarray):
@@ -175,37 +181,77 @@ def _pairs(heads: np.ndarray, sizes: np.ndarray):
 
 
 def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(heads of groups, their sizes, a, b): of the rows ordered by (tok, i, j, uid), the pairs to compare in this bucket."""
-    tok, uid, size = (table.column(c).to_numpy() for c in ("tok", "uid", "size"))
-    i, j, block = (table.column(c).to_numpy() for c in ("i", "j", "block"))
+    """(heads of groups, their sizes, a, b): of the rows in _ORDER, the pairs to compare in this bucket."""
+    path, tok, depth, uid, size, i, j, block, dense = (table.column(c).to_numpy() for c in ("path", "tok", "depth", "uid", "size", "i", "j", "block", "dense"))
     lists = _padded(table.column("toks").combine_chunks())
-    new = np.r_[True, (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    new = np.r_[True, (path[1:] != path[:-1]) | (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
     heads = np.flatnonzero(new)
     many = np.diff(np.r_[heads, len(tok)])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in _pairs(heads, many):
         m, n = size[a].astype(np.int64), size[b].astype(np.int64)
-        fit = (DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)) & (uid[a] != uid[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+        fit = (DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)) & (uid[a] != uid[b]) & ((i[a] == j[a]) | (block[a] != block[b])) & (dense[a] | dense[b])
         a, b = a[fit], b[fit]
-        count, least = _common(lists, a, b)
+        count, passed = _common(lists, tok, a, b)
         need = np.minimum(DEPTH, -(-NUM * (size[a].astype(np.int64) + size[b]) // (NUM + DEN)))
-        fit = (count >= need) & (least == tok[a])
+        fit = (count >= need) & (passed == depth[a])  # the path is that of the pair's smallest shared ones
         left.append(a[fit]), right.append(b[fit])
     return heads, many, np.concatenate(left), np.concatenate(right)
 
 
-_ORDER = [("tok", "ascending"), ("i", "ascending"), ("j", "ascending"), ("uid", "ascending")]
+_PLACE = "path long, tok int, depth int, i int, j int, block int, dense boolean"
+_PLACES = [x.split()[0] for x in _PLACE.split(", ")]
+_ORDER = [(c, "ascending") for c in ("path", "tok", "i", "j", "uid")]
+
+
+def _children(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows (uid, size, toks, need, at, path) one shingle further down their paths, where enough of them are left."""
+    last = F.size("toks") - F.greatest(F.col("need") - depth, F.lit(0)) - 1
+    places = F.when(last > F.col("at"), F.sequence(F.col("at") + 1, last))
+    down = rows.select("uid", "size", "toks", "need", "path", F.explode(places).alias("at")).withColumn("tok", F.col("toks")[F.col("at")])
+    return down.withColumn("path", F.xxhash64("path", "tok"))
+
+
+def _split(lists: DataFrame) -> DataFrame:
+    """(uid, size, toks, place): where the sets (uid, size, toks, need) meet: small buckets as they are, of large ones those sets, by blocks, that a further split would not tell apart."""
+    place = F.struct("path", "tok", F.col("depth").cast("int").alias("depth"), "i", "j", "block", "dense").alias("place")
+    none, whole = F.lit(0), F.lit(True)
+    rows, out = lists.select("uid", "size", "toks", "need", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("path")), []
+    for depth in range(1, DEPTH + 1):
+        down = _children(rows, depth)
+        large = checkpointed(down.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > LEAF))
+        some = large.limit(1).count()
+        small = attached(down, large.select("path"), "path", "left_anti") if some else down
+        out.append(small.select("uid", "size", "toks", "path", "tok", F.lit(depth).alias("depth"), none.alias("i"), none.alias("j"), none.alias("block"), whole.alias("dense")).select("uid", "size", "toks", place))
+        if not some:
+            break
+        rows = checkpointed(attached(down, large, "path", "inner"))
+        # the share of a set's further shingles that the average other set of the bucket has
+        further = rows.select("path", "uid", "n", F.explode(F.slice("toks", F.col("at") + 2, F.size("toks"))).alias("t"))
+        counts = further.groupBy("path", "t").agg(F.count("*").alias("c"))
+        share = further.join(counts, ["path", "t"]).groupBy("path", "uid").agg(F.avg((F.col("c") - 1) / (F.col("n") - 1)).alias("share"))
+        rows = rows.join(share, ["path", "uid"], "left").withColumn("dense", (F.col("need") <= depth) | (F.coalesce("share", F.lit(1.0)) >= DENSE)).drop("n", "share")
+        rows = checkpointed(rows)
+        blocks = rows.groupBy("path").agg(F.ceil(F.count_if("dense") / BLOCK).cast("int").alias("first"), F.ceil(F.count_if(~F.col("dense")) / BLOCK).cast("int").alias("rest"))
+        met = rows.join(blocks.where("first > 0"), "path")  # dense sets have the first blocks and meet all; the others meet only these
+        at = F.xxhash64("uid", "path")
+        met = met.withColumn("block", F.when(F.col("dense"), F.pmod(at, F.col("first"))).otherwise(F.col("first") + F.pmod(at, F.col("rest"))).cast("int"))
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("dense"), F.col("first") + F.col("rest")).otherwise(F.col("first")) - 1)))
+        met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "depth": F.lit(depth)})
+        out.append(met.select("uid", "size", "toks", place))
+        rows = rows.where(~F.col("dense")).select("uid", "size", "toks", "need", "at", "path")
+    return reduce(DataFrame.unionByName, out)
 
 
 def _partners(posts: DataFrame) -> DataFrame:
-    """(uid, tok, i, j, block): in which buckets a set has a pair to be compared."""
+    """(uid, place): in which buckets a set has a pair to be compared."""
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by(_ORDER)
         _, _, a, b = _bucket_pairs(table)
-        return table.take(pa.array(np.unique(np.concatenate([a, b])))).select(["uid", "tok", "i", "j", "block"])
+        return table.take(pa.array(np.unique(np.concatenate([a, b])))).select(["uid", *_PLACES])
 
-    return posts.groupBy("bucket").applyInArrow(tidy_group(meet), "uid long, tok int, i int, j int, block int")
+    return posts.groupBy("bucket").applyInArrow(tidy_group(meet), f"uid long, {_PLACE}")
 
 
 _LINKS = "uid long, links long, root long"
@@ -288,16 +334,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_docs = docs.count()
     buckets = max(64, n_docs // DOCS_PER_BUCKET)
     same = checkpointed(_sets(docs).distinct())
-    classes = checkpointed(same.groupBy("same").agg(F.min("uid").alias("first"), F.count("*").alias("copies")))
+    classes = checkpointed(same.groupBy("same", "same2").agg(F.min("uid").alias("first"), F.count("*").alias("copies")))
     need = F.least(F.lit(DEPTH), F.ceil(F.col("size") * NUM / DEN)).cast("int")
-    lists = _shared(_chosen(docs, buckets)).groupBy("uid", "size").agg(F.array_sort(F.collect_set(F.struct("tok", "n"))).alias("list"))
-    lists = checkpointed(lists.where(F.size("list") >= need).withColumn("toks", F.array_sort(F.array_distinct(F.col("list.tok")))))
-    blocks = F.ceil(F.col("at.n") / BLOCK).cast("int")
-    posts = lists.select("uid", "size", "toks", F.explode(F.slice("list", F.lit(1), F.greatest(F.lit(1), F.size("list") - need + 1))).alias("at"))
-    posts = posts.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    posts = posts.select("uid", "size", "toks", "block", F.col("at.tok").alias("tok"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    spread = F.pmod(F.xxhash64("tok", "i", "j"), F.lit(buckets)).cast("int")
-    met = _partners(posts.withColumn("bucket", spread)).groupBy("uid").agg(F.collect_set(F.struct("tok", "i", "j", "block")).alias("at"))
+    lists = _shared(_chosen(docs, buckets)).groupBy("uid", "size").agg(F.array_sort(F.collect_set("tok")).alias("toks")).withColumn("need", need)
+    lists = checkpointed(lists.where(F.size("toks") >= F.col("need")))
+    spread = F.pmod(F.xxhash64("path", "i", "j"), F.lit(buckets)).cast("int")
+    posts = _split(lists).select("uid", "size", "toks", "place.*").withColumn("bucket", spread)
+    met = _partners(posts).groupBy("uid").agg(F.collect_set(F.struct(*_PLACES)).alias("at"))
     side = met.join(lists.select("uid", "size", "toks"), "uid").join(classes.select(F.col("first").alias("uid"), "copies"), "uid")
     asked = attached(docs, checkpointed(side), "uid", "inner")
 
@@ -309,15 +352,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 packed = [tokens[h : h + s].tobytes() for h, s in zip(heads.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in rest], pa.array(packed, pa.binary())], names=["uid", "size", "toks", "copies", "at", "shingles"])
 
-    place = "array<struct<tok:int,i:int,j:int,block:int>>"
+    place = f"array<struct<{_PLACE.replace(' ', ':')}>>".replace(",:", ",")
     sent = asked.select("text", "uid", "size", "toks", "copies", "at").mapInArrow(tidy(shingles), f"uid long, size int, toks array<int>, copies long, at {place}, shingles binary")
     sent = sent.select("uid", "size", "toks", "copies", "shingles", F.explode("at").alias("at")).select("uid", "size", "toks", "copies", "shingles", "at.*").withColumn("bucket", spread)
     linked = checkpointed(_linked(sent))
     links = linked.groupBy("uid").agg(F.sum("links").alias("links"))
     groups = groups_of(linked)
     of_class = classes.join(links.withColumnRenamed("uid", "first"), "first", "left").join(groups.withColumnsRenamed({"uid": "first", "least": "group"}), "first", "left")
-    of_class = of_class.select("same", F.coalesce("group", "first").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
-    return same.join(of_class, "same").select("uid", "group", "links")
+    of_class = of_class.select("same", "same2", F.coalesce("group", "first").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    return same.join(of_class, ["same", "same2"]).select("uid", "group", "links")
 
 
 def _documents(df: DataFrame, key: str, text: str, uid: str) -> tuple[DataFrame, DataFrame]:

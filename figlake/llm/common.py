@@ -5,10 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
@@ -16,40 +17,85 @@ CHUNK_BYTES = 2 << 20
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SEEDS = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+_LEFT, _RIGHT, _LENGTH = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0xA24BAED4963EE407)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over the whole word."""
     x = x ^ (x >> U64(30))
-    x = x * _MIX1
-    x = x ^ (x >> U64(27))
-    x = x * _MIX2
-    return x ^ (x >> U64(31))
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**i and r**-i modulo 2**64 for i < n, r one of two odd bases."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        base = _BASES[which]
-        out = []
-        for r in (base, pow(base, -1, 1 << 64)):
-            p = np.ones(size, dtype=U64)
-            p[1:] = U64(r)
-            out.append(np.multiply.accumulate(p))
-        have = _powers[which] = (out[0], out[1])
-    return have
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit polynomial hash of values[start:end] for each span; equal spans hash equally wherever they stand."""
-    up, down = powers(which, len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    x *= _MIX1
+    x ^= x >> U64(27)
+    x *= _MIX2
+    x ^= x >> U64(31)
+    return x
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def _chunks(wide: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each start, zeros where fewer than eight are left."""
+    part = wide[starts]
+    few = np.flatnonzero(left < 8)
+    part[few] &= (U64(1) << (U64(8) * left[few].astype(U64))) - U64(1)
+    return part
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, in one of two independent ways: eight bytes at a time are mixed into the state; BLAKE2 for long spans."""
+    wide, length, seed = _eights(data), ends - starts, _SEEDS[which]
+    out = mix64(length.astype(U64) * _LENGTH + seed)
+    for k in np.flatnonzero(length > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
+    rows = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    at, left = starts[rows], length[rows]
+    while len(rows):
+        out[rows] = mix64((out[rows] ^ _chunks(wide, at, left)) * _LEFT + seed)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span data[start:end] is equal, byte by byte, to the span with the number ``other``."""
+    length = ends - starts
+    rows = np.flatnonzero(other != np.arange(len(other)))
+    if (length[rows] != length[other[rows]]).any():
+        return False
+    wide, at, own, left = _eights(data), starts[rows], starts[other[rows]], length[rows]
+    for k in np.flatnonzero(left > LONG_SPAN).tolist():
+        if not np.array_equal(data[at[k] : at[k] + left[k]], data[own[k] : own[k] + left[k]]):
+            return False
+    at, own, left = (x[left <= LONG_SPAN] for x in (at, own, left))
+    while len(left):
+        if (_chunks(wide, at, left) != _chunks(wide, own, left)).any():
+            return False
+        more = left > 8
+        at, own, left = at[more] + 8, own[more] + 8, left[more] - 8
+    return True
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of values[start:end] (not empty) for each span: of its first and last 2**k values, whose hashes are built by doubling; nothing in it is a polynomial."""
+    length, seed = ends - starts, _SEEDS[which]
+    power = np.frexp(length.astype(np.float64))[1] - 1
+    out, table = np.empty(len(starts), U64), mix64(values.astype(U64) + seed)
+    for k in range(int(power.max(initial=-1)) + 1):
+        if k:
+            half = 1 << (k - 1)
+            table = mix64(table[:-half] * _LEFT + (table[half:] ^ seed) * _RIGHT)
+        rows = np.flatnonzero(power == k)
+        if len(rows):
+            first, last = table[starts[rows]], table[ends[rows] - (1 << k)]
+            out[rows] = mix64(mix64(first + length[rows].astype(U64) * _LENGTH) * _LEFT + last)
+    return out
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +173,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: written plainly, the optimiser would put it into the lambdas that use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -200,13 +251,42 @@ def identified(df: DataFrame, key: str, text: str, out: str, first: str | None =
     return (clear.withColumn(first, F.col(out)) if first else clear).unionByName(some)
 
 
+#: Bits of the bitmap that says which rows may have a partner: at most 32 MB, and as good as useless from a third as many partners on.
+FILTER_BITS = 28
+
+
+def _marked(df: DataFrame, side: DataFrame, on: str, mark: str) -> DataFrame:
+    """Adds whether a row's key may be one of side's: by a broadcast bitmap of hashed keys, of a size that does not depend on side."""
+    bucket, bits = fresh(df, "_bucket"), fresh(df, "_bits")
+    place = F.pmod(F.xxhash64(on), F.lit(1 << FILTER_BITS))
+    maps = side.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col(bucket), "left")
+    return found.withColumn(mark, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(bucket, bits)
+
+
 def attached(df: DataFrame, side: DataFrame, on: str, how: str = "left", small: bool = True) -> DataFrame:
-    """Joins side, which has one row for each value of ``on``: broadcast if that may be (``small``) and its rows and array elements are few by count, else by a shuffle that hashes side and does not sort df."""
-    if not small:
-        return df.join(side.hint("shuffle_hash"), on, how)
+    """Joins side, which has one row for each value of ``on``: broadcast if that may be (``small``) and its rows and array elements are few by count.
+
+    Else by a shuffle that hashes side and does not sort df, of the rows of df only that may have a partner (see _marked); the others (left and anti joins) are read a second time and stay where they are.
+    """
     arrays = [F.coalesce(F.size(f.name), F.lit(0)) for f in side.schema.fields if f.dataType.typeName() == "array"]
-    weight = side.agg(F.coalesce(F.sum(sum(arrays, F.lit(4))), F.lit(0))).first()[0]
-    return df.join(F.broadcast(side) if weight <= BROADCAST_ELEMENTS else side.hint("shuffle_hash"), on, how)
+    weight, n = side.agg(F.coalesce(F.sum(sum(arrays, F.lit(4))), F.lit(0)), F.count("*")).first()
+    if small and weight <= BROADCAST_ELEMENTS:
+        return df.join(F.broadcast(side), on, how)
+    hashed = side.hint("shuffle_hash")
+    if n > (1 << FILTER_BITS) // 3:
+        return df.join(hashed, on, how)
+    mark = fresh(df, "_mark")
+    marked = _marked(df, side, on, mark)
+    met = marked.where(F.col(mark)).drop(mark).join(hashed, on, how)
+    if how in ("inner", "left_semi"):
+        return met
+    rest = marked.where(~F.col(mark)).drop(mark)
+    if how == "left":
+        rest = rest.withColumns({f.name: F.lit(None).cast(f.dataType) for f in side.schema.fields if f.name != on})
+    return met.unionByName(rest.select(*met.columns))
 
 
 def planes(column: np.ndarray) -> bytes:

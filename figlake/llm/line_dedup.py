@@ -3,7 +3,7 @@
 A line is the set of its words. A line goes if an earlier line, by document identity and line number, has a Jaccard
 similarity of ``NUM/DEN`` = 0.8 or more with it. Steps:
 
-1. One pass counts words (each task sums up with a bounded heavy-hitter list) and finds each set's first line. Later lines with an equal set go.
+1. One pass counts words (each task sums up with a bounded heavy-hitter list) and finds each set's first line. Later lines with an equal set (by 128 bits of two independent hashes) go.
 2. Tokens are ordered by rarity: those outside the ``COMMON`` most frequent by hash, then the common ones by count. A set of m
    tokens posts its first m - ceil(0.8 m) + 1 tokens. Postings travel packed, by buckets of tokens.
 3. In a token's group the sets are taken in line order, equal sets once, and later sets are matched with earlier ones through the length,
@@ -25,11 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import attached, checkpointed, fresh, from_planes, identified, mix64, planes, ranges, span_hashes, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, from_planes, identified, let, mix64, planes, ranges, text_chunks, tidy, tidy_group, words_of
 
 NUM, DEN = 4, 5
 COMMON = 1 << 18
@@ -43,7 +43,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 @dataclass
 class Sets:
-    """Sets of the lines of some texts that have words: tokens in the given order, line by line; and all distinct words with their counts."""
+    """Sets of the lines of some texts that have words: tokens in the given order, line by line, and two hashes of each set; and all distinct words with their counts."""
 
     text: np.ndarray
     line: np.ndarray
@@ -51,6 +51,7 @@ class Sets:
     sizes: np.ndarray
     tokens: np.ndarray
     hashes: np.ndarray
+    others: np.ndarray
     distinct: np.ndarray
     counts: np.ndarray
 
@@ -66,19 +67,21 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, rank=None) -> Sets:
     starts, ends, line = words_of(data, np.append(at, len(data)), _SPACE)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Sets(none, none, none, none, *[none.astype(np.uint64)] * 3, none)
-    codes, distinct = pd.factorize(span_hashes(data, starts, ends))
+        return Sets(none, none, none, none, *[none.astype(np.uint64)] * 4, none)
+    codes, distinct = pd.factorize(byte_hashes(data, starts, ends))
+    first = np.empty(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     places = np.lexsort((distinct,) if rank is None else (distinct, rank(distinct)))
-    ordered = distinct[places]
+    ordered, second = distinct[places], byte_hashes(data, starts[first], ends[first], 1)[places]
     turn = np.empty(len(places), np.int64)
     turn[places] = np.arange(len(places))
     keys = np.sort((line << 32) | turn[codes])
     keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
-    own, tokens = keys >> 32, ordered[keys & 0xFFFFFFFF]
+    own, tokens, second = keys >> 32, ordered[keys & 0xFFFFFFFF], second[keys & 0xFFFFFFFF]
     heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     sizes = np.diff(np.r_[heads, len(own)])
-    hashes = mix64(np.add.reduceat(mix64(tokens ^ np.uint64(0x5851F42D4C957F2D)), heads) + sizes.astype(np.uint64))
-    return Sets(text[own[heads]], number[own[heads]], heads, sizes, tokens, hashes, distinct, np.bincount(codes, minlength=len(distinct)))
+    hashes, others = (mix64(np.add.reduceat(mix64(x ^ np.uint64(0x5851F42D4C957F2D)), heads) + sizes.astype(np.uint64)) for x in (tokens, second))
+    return Sets(text[own[heads]], number[own[heads]], heads, sizes, tokens, hashes, others, distinct, np.bincount(codes, minlength=len(distinct)))
 
 
 class _Heavy:
@@ -105,12 +108,12 @@ class _Heavy:
         return distinct, counts
 
 
-_LINES = "bucket int, h long, uid long, line int, packed binary"
+_LINES = "bucket int, h long, h2 long, uid long, line int, packed binary"
 COUNT_BUCKETS = 64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Set hash, document and line of every line (bucket null); and packed counts of the task's tokens, by buckets of tokens."""
+    """Set hashes, document and line of every line (bucket null); and packed counts of the task's tokens, by buckets of tokens."""
 
     def run(batches):
         heavy = _Heavy()
@@ -120,12 +123,12 @@ def _lines(docs: DataFrame) -> DataFrame:
                 sets = line_sets(data, offsets)
                 if len(n := sets.heads):
                     heavy.add(sets.distinct, sets.counts)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), pa.array(sets.hashes.view(np.int64)), pa.array(uids[lo:hi][sets.text]), pa.array(sets.line.astype(np.int32)), pa.nulls(len(n), pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), pa.array(sets.hashes.view(np.int64)), pa.array(sets.others.view(np.int64)), pa.array(uids[lo:hi][sets.text]), pa.array(sets.line.astype(np.int32)), pa.nulls(len(n), pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
         tokens, counts = heavy.most(COMMON)
         bucket = (mix64(tokens) % np.uint64(COUNT_BUCKETS)).astype(np.int64)
         packed = [tokens[bucket == k].tobytes() + counts[bucket == k].astype(np.int64).tobytes() for k in range(COUNT_BUCKETS)]
         none = pa.nulls(COUNT_BUCKETS, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNT_BUCKETS, dtype=np.int32)), none, none, pa.nulls(COUNT_BUCKETS, pa.int32()), pa.array(packed, pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNT_BUCKETS, dtype=np.int32)), none, none, none, pa.nulls(COUNT_BUCKETS, pa.int32()), pa.array(packed, pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
 
     return docs.mapInArrow(tidy(run), _LINES)
 
@@ -152,7 +155,7 @@ def _most_common(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], ranks[order]
 
 
-_PACK = (("tok", "<u4"), ("sid", "<u4"), ("uid", "<i8"), ("line", "<i4"), ("size", "<i4"), ("turn", "<i4"))
+_PACK = (("tok", "<u4"), ("sid", "<u8"), ("uid", "<i8"), ("line", "<i4"), ("size", "<i4"), ("turn", "<i4"))
 #: Words of 64 bits that the signature of a set has: by its size, so that unlike sets differ in more bits than like ones may.
 SIGNATURES = ((48, 1), (96, 2), (224, 4), (1 << 62, 16))
 
@@ -279,13 +282,13 @@ def candidates(p: dict[str, np.ndarray], proposed: int) -> tuple[np.ndarray, ...
     place = np.empty(len(p["tok"]), np.int64)
     place[np.lexsort((p["line"], p["uid"]))] = np.arange(len(place))
     tok = p["tok"].astype(np.uint64) << np.uint64(32)
-    order = np.argsort(tok | p["sid"])
-    p["sig"] = p["sigs"][p["sat"]]
-    key, sig, size = (tok | p["sid"])[order], p["sig"][order], p["size"][order]
+    key = tok | (p["sid"] >> np.uint64(32))
+    order = np.argsort(key)
+    key, sid = key[order], p["sid"][order]
     same = key[1:] == key[:-1]
-    if (same & ((sig[1:] != sig[:-1]) | (size[1:] != size[:-1]))).any():  # different sets with one short hash
-        order = np.lexsort((p["size"], p["sig"], p["sid"], p["tok"]))
-        same = np.all([p[k][order][1:] == p[k][order][:-1] for k in ("tok", "sid", "sig", "size")], axis=0)
+    if (same & (sid[1:] != sid[:-1])).any():  # different sets that begin alike in their hashes
+        order = np.lexsort((p["sid"], p["tok"]))
+        same = np.all([p[k][order][1:] == p[k][order][:-1] for k in ("tok", "sid")], axis=0)
     heads = np.flatnonzero(np.r_[True, ~same])
     least = np.minimum.reduceat(place[order], heads) if len(order) else place
     at = np.empty(len(place), np.int64)
@@ -399,11 +402,11 @@ def repeated_lines(docs: DataFrame, proposed: int = PROPOSED) -> DataFrame:
     """(uid, gone): the numbers of the lines that go, of documents (uid, text)."""
     lines = checkpointed(_lines(docs))
     common = _most_common(lines)
-    sets = lines.where("bucket is null").select("h", "uid", "line")
+    sets = lines.where("bucket is null").select("h", "h2", "uid", "line")
     # of sets with several lines only, and cut off, so that the join below can be split where a line is very frequent
-    first = sets.groupBy("h").agg(F.min(F.struct("uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    first = sets.groupBy("h", "h2").agg(F.min(F.struct("uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "first")
     first = checkpointed(first)
-    same = sets.join(first, "h").where((F.col("first.uid") != F.col("uid")) | (F.col("first.line") != F.col("line"))).select("uid", "line")
+    same = sets.join(first, ["h", "h2"]).where((F.col("first.uid") != F.col("uid")) | (F.col("first.line") != F.col("line"))).select("uid", "line")
     buckets = max(64, docs.count() // DOCS_PER_BUCKET)
     found = checkpointed(_pairs(_postings(docs, common, buckets), proposed))
     pairs = found.where("uid is not null")
@@ -426,7 +429,10 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", out: str
     rows = identified(df, key, text, uid)
     found = checkpointed(repeated_lines(rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))).select(F.col("uid").alias(uid), F.col("gone").alias(gone)))
     joined = attached(rows, found, uid)
-    keep = lambda lines: F.array_join(F.filter(lines, lambda line, k: ~F.array_contains(F.col(gone), k)), "\n")
-    split = F.split(F.col(text), "\n")
-    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(keep(split))
+
+    def left(lines: Column) -> Column:
+        """By hashed difference of the numbers: a search for every line would be quadratic."""
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda k: lines[k]), "\n")
+
+    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(let(F.split(F.col(text), "\n"), left))
     return joined.withColumn(text, kept).withColumn(out, F.coalesce(F.col(gone), F.array().cast("array<int>"))).drop(uid, gone)

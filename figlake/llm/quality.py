@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import checkpointed, mix64, span_hashes, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import byte_hashes, checkpointed, mix64, text_chunks, tidy, tidy_group, words_of
 
 FIT_ROWS, VOCABULARY = 6_000, 16_384
 DIMENSIONS, LOOKS, ENTRIES, REACH = 64, 128, 4, 2
@@ -55,7 +55,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(starts):
         none = np.zeros(0, np.uint64)
         return none, none, owner
-    hashes = span_hashes(data, starts, ends)
+    hashes = byte_hashes(data, starts, ends)
     count = lambda kind: np.add.reduceat(np.r_[kind[data], False].astype(np.int32), np.ravel(np.column_stack([starts, ends])))[::2]
     upper, lower, digit, symbol = (count(kind) for kind in (_UPPER, _LOWER, _DIGIT, _SYMBOL))
     length = np.digitize(ends - starts, (2, 4, 8, 13, 20))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import attached, checkpointed, fresh, from_planes, identified, mix64, planes, ranges, span_hashes, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, from_planes, identified, mix64, planes, ranges, run_hashes, text_chunks, tidy, tidy_group, words_of
 
 WINDOW, ROUNDS = 35, 3
 DOCS_PER_BUCKET = 1000
@@ -135,12 +135,12 @@ def _unpacked(blobs: list[bytes], pack: tuple[tuple[str, str], ...]) -> list[np.
     return [np.concatenate(x) for x in parts]
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, place in the text) of every word."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, a second hash, text, place in the text) of every word."""
     starts, ends, text = words_of(data, offsets, _SPACE)
     if not len(starts):
-        return np.zeros(0, np.uint64), text, text
-    return span_hashes(data, starts, ends), text, np.arange(len(text)) - np.searchsorted(text, text)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), text, text
+    return byte_hashes(data, starts, ends), byte_hashes(data, starts, ends, 1), text, np.arange(len(text)) - np.searchsorted(text, text)
 
 
 def _records(docs: DataFrame, buckets: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _records(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             uids = batch.column("uid").to_numpy()
             for lo, hi, data, offsets in text_chunks(batch.column("text"), STEP_BYTES):
-                words, text, place = _words(data, offsets)
+                words, others, text, place = _words(data, offsets)
                 rounds = Rounds(words, text)
                 first = rounds.windows
                 if not len(first):
@@ -163,7 +163,7 @@ def _records(docs: DataFrame, buckets: int) -> DataFrame:
                     rows = level == k
                     name[rows] = mix64(rounds.symbols[k][anchor[rows]] + _SEEDS[k])
                     begin[rows] = rounds.begins[k][anchor[rows]]
-                span = span_hashes(words, start, start + many + WINDOW - 1, 1)
+                span = run_hashes(others, start, start + many + WINDOW - 1, 1)
                 span = mix64(span + ((begin - start) * 4096 + many).astype(np.uint64))
                 uid, at = uids[lo:hi][text[start]], place[start]
                 order = np.lexsort((span, name))
@@ -217,7 +217,7 @@ def _equal_windows(docs: DataFrame, open_: DataFrame, buckets: int) -> DataFrame
         for batch in batches:
             uids = batch.column("uid").to_numpy()
             for lo, hi, data, offsets in text_chunks(batch.column("text"), STEP_BYTES):
-                words, text, _ = _words(data, offsets)
+                words, others, text, _ = _words(data, offsets)
                 ats, ns = batch.column("ats").slice(lo, hi - lo), batch.column("ns").slice(lo, hi - lo)
                 begin = np.searchsorted(text, np.arange(hi - lo))
                 of = np.repeat(np.arange(hi - lo), ats.value_lengths().to_numpy())
@@ -225,7 +225,7 @@ def _equal_windows(docs: DataFrame, open_: DataFrame, buckets: int) -> DataFrame
                 at = ranges(ats.flatten().to_numpy().astype(np.int64), many)
                 of = np.repeat(of, many)
                 start = begin[of] + at
-                one, two = span_hashes(words, start, start + WINDOW, 0), span_hashes(words, start, start + WINDOW, 1)
+                one, two = run_hashes(words, start, start + WINDOW), run_hashes(others, start, start + WINDOW, 1)
                 yield _packed((one % np.uint64(buckets)).astype(np.int64), [one, (two >> np.uint64(32)).astype(np.uint32), uids[lo:hi][of], at.astype(np.int32)])
 
     def meet(table: pa.Table) -> pa.Table:

@@ -200,10 +200,12 @@ def linked(texts):
     return {d: (group[d], len(links[d])) for d in sets}
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_near_duplicates(documents, empty, monkeypatch, block):
+@pytest.mark.parametrize(("leaf", "block", "dense"), [(1024, 1024, 0.25), (2, 3, 0.25), (2, 2, 2.0)])
+def test_near_duplicates(documents, empty, monkeypatch, leaf, block, dense):
+    """As a whole; by blocks; and with every large bucket split down to the end of the paths."""
     df, texts = documents
-    monkeypatch.setattr(chosen_path, "BLOCK", block)
+    for name, v in (("LEAF", leaf), ("BLOCK", block), ("DENSE", dense)):
+        monkeypatch.setattr(chosen_path, name, v)
     want = linked(texts)
     assert sum(n > 0 for _, n in want.values()) > 8
     assert {r.doc_id: (r.group_id, r.n_links) for r in chosen_path.with_groups(df).collect()} == want
@@ -211,7 +213,10 @@ def test_near_duplicates(documents, empty, monkeypatch, block):
     assert chosen_path.with_groups(empty).count() == 0
 
 
-def test_near_duplicates_of_a_large_family(spark):
+@pytest.mark.parametrize("leaf", [1024, 20])
+def test_near_duplicates_of_a_large_family(spark, monkeypatch, leaf):
+    monkeypatch.setattr(chosen_path, "LEAF", leaf)
+    monkeypatch.setattr(chosen_path, "BLOCK", leaf)
     rng = random.Random(4)
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows = []
@@ -220,6 +225,8 @@ def test_near_duplicates_of_a_large_family(spark):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(len(w))] = f"n{k}"
         rows.append((k, " ".join(w)))
+    passage = " ".join(f"p{k}" for k in range(40))  # shared, but not enough for a link
+    rows += [(k, " ".join([f"x{rng.randrange(9000)}" for _ in range(60)] + [passage])) for k in range(200, 300)]
     got = chosen_path.with_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.group_id, r.n_links) for r in got} == linked(dict(rows))
 
