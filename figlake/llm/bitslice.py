@@ -11,7 +11,8 @@ Rows and queries meet block by block: each (query block, row block) is one bound
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; only vectors of the query's
 length are its candidates; repeated rows are candidates each, but none with the query's own id; of queries that repeat
-an id the least vector counts; rows with a null id take no part; integers beyond 2**27 are clipped to it; empty tables give empty results.
+an id the shortest and then least vector counts; rows with a null id take no part; components of any finite size are scored exactly (vectors too
+large for sums of 64 bits outside the index), and a score among the best that no long can hold raises OverflowError; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,8 +29,20 @@ HIGH_BITS = 7
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def quantised(vectors: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(1024.0 * vectors.astype(np.float64)), -(2.0**27), 2.0**27).astype(np.int64)
+def floors(vectors: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) of every component x, as whole doubles."""
+    return np.floor(1024.0 * vectors.astype(np.float64))
+
+
+def narrow(whole: np.ndarray) -> np.ndarray:
+    """Which vectors are so small that their inner products, and the sums on the way there, fit into 64 bits."""
+    return np.abs(whole).max(axis=1, initial=0) <= 2.0 ** ((60 - whole.shape[1].bit_length()) // 2)
+
+
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products of whole doubles of any size, with integers of any size."""
+    other = [int(x) for x in query.tolist()]
+    return [sum(int(a) * b for a, b in zip(row, other, strict=True)) for row in rows.tolist()]
 
 
 class SlicedIndex:
@@ -115,14 +128,42 @@ class SlicedIndex:
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return quantised(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1))
+    return floors(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1))
+
+
+class Block:
+    """The rows of one block: small vectors in a sliced index, the others (few, as a rule) as they are."""
+
+    def __init__(self, ids: np.ndarray, whole: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        ids, whole = ids[order], whole[order]
+        small = narrow(whole)
+        self.ids, self.index = ids[small], SlicedIndex(whole[small].astype(np.int64)) if small.any() else None
+        self.whole, self.wide = whole, np.flatnonzero(~small)
+        self.all_ids = ids
+
+    def top(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best (id, score) of rows with other ids than the query's own, ties to the smaller id."""
+        found, rest = [], self.wide
+        if narrow(query[None])[0]:
+            if self.index is not None:
+                at, scores = self.index.top(query.astype(np.int64), k, self.ids == own)
+                found = list(zip(self.ids[at].tolist(), scores.tolist(), strict=True))
+        else:
+            rest = np.arange(len(self.whole))
+        rest = rest[self.all_ids[rest] != own]
+        if len(rest):
+            found += zip(self.all_ids[rest].tolist(), exact_scores(self.whole[rest], query), strict=True)
+            found.sort(key=lambda x: (-x[1], x[0]))
+        return found[:k]
 
 
 def top_k(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", every: int = 100) -> DataFrame:
     """Queries are the rows whose key is divisible by ``every``; returns query_id, rank (from 1), the key and score."""
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & sound)
-    queries = rows.where(F.col("id") % every == 0).groupBy("id", F.size("v").alias("d")).agg(F.min("v").alias("v"))
+    least = F.min(F.struct(F.size("v").alias("d"), "v")).alias("least")
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(least).select("id", "least.d", "least.v")
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).first()
     row_blocks, query_blocks = max(1, -(-counts.n // ROW_BLOCK)), max(1, -(-counts.q // QUERY_BLOCK))
 
@@ -135,17 +176,14 @@ def top_k(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedd
     schema = "query_id long, id long, score long"
 
     def meet(table: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = []
+        found: list[tuple[int, int, int]] = []
         if table.num_rows and asked.num_rows:
-            ids = table.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            index = SlicedIndex(_matrix(table.column("v"))[order])
+            block = Block(table.column("id").to_numpy(), _matrix(table.column("v")))
             for own, query in zip(asked.column("id").to_pylist(), _matrix(asked.column("v")), strict=True):
-                at, scores = index.top(query, k, ids == own)
-                found.append((np.full(len(at), own), ids[at], scores))
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "id", "score"])
+                found += [(own, at, score) for at, score in block.top(own, query, k)]
+        if any(abs(score) >= 1 << 63 for _, _, score in found):
+            raise OverflowError("an inner product does not fit into a long")
+        return pa.table([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["query_id", "id", "score"])
 
     best = left.groupBy("rb", "qb", "d").cogroup(right.groupBy("rb", "qb", "d")).applyInArrow(meet, schema)
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
