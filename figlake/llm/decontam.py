@@ -6,8 +6,9 @@ text and an item share yield a common fingerprint. Items of fewer than 10 words
 (found first, at most nine of them) all grams of that length are fingerprints. Fingerprints of texts are joined with
 those of the items; a hit is extended to the windows around it, which are then compared word by word.
 
-The side of the items is broadcast if it has at most ``BROADCAST_ROWS`` rows, counted first; else both sides are
-shuffled. Texts travel once, to their hits, and are hash-joined, not sorted.
+The items' fingerprints and windows are broadcast if they are few, counted first; else a broadcast bitmap of bounded size sorts out most
+fingerprints of texts and the rest is shuffled. Only the ids of texts with a common fingerprint are gathered; these texts are read again where they are (or, if the ids are too many to be
+broadcast, shuffled, and no others), and all their grams are looked up, so the work on a text is in proportion to its length.
 
 Defined cases: a null or empty text has no words and is not contaminated; null and empty items have no windows; a null
 item id is not listed; repeated rows each get their result (results are joined on the id and a hash of the text);
@@ -21,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figlake.llm.common import checkpointed
+from figlake.llm.common import attached, checkpointed, let
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
@@ -36,11 +37,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, _BREAKS), "")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once: written plainly, the optimiser would put it into the lambdas that use it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _grams(hashes: Column, m: int) -> Column:
     """Hashes of all runs of m values; m is hashed too, so that lengths do not mix."""
     span = F.sequence(F.lit(0), F.size(hashes) - m)
@@ -62,33 +58,24 @@ def _prints(w: Column, lengths: list[int]) -> Column:
     """Distinct fingerprints of the words w: winnowed grams, and all grams of the given lengths."""
 
     def of(h: Column) -> Column:
-        own = _let(_grams(h, GRAM), _winnowed)
+        own = let(_grams(h, GRAM), _winnowed)
         return F.concat(own, *[F.array_distinct(_grams(h, m)) for m in lengths]) if lengths else own
 
-    return _let(_hashes(w), of)
-
+    return let(_hashes(w), of)
 
-def _spans(w: Column, found: Column, lengths: list[int]) -> Column:
-    """Windows (s, m, words) of w that a found fingerprint lies in."""
-    none = F.array().cast("array<int>")
 
-    def places(grams: Column) -> Column:
-        return F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(found, g), i)), lambda i: i.isNotNull())
+def _all_grams(w: Column, lengths: list[int]) -> Column:
+    """Every gram of the words w that may be a fingerprint, with the words of the windows it lies in: (f, m: the windows' length, first: where the first of these begins, n: how many there are, context: their words)."""
 
-    def cut(w: Column, starts: Column, m: int) -> Column:
-        return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(m).alias("m"), F.array(*[w[s + j] for j in range(m)]).alias("window")))
+    def placed(h: Column, gram: int, m: int) -> Column:
+        reach, last = m - gram, F.size(h) - m
+        first = lambda i: F.greatest(i - reach, F.lit(0))
+        many = lambda i: F.least(i, last) - first(i) + 1
+        at = lambda g, i: F.struct(g.alias("f"), F.lit(m).alias("m"), first(i).alias("first"), many(i).alias("n"), F.slice(w, first(i) + 1, many(i) + m - 1).alias("context"))
+        grams = F.when(last >= 0, _grams(h, gram)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(grams, at)
 
-    def found_grams(m: int):
-        return lambda h: _let(_grams(h, m), places)
-
-    def of(w: Column) -> Column:
-        last = F.size(w) - WINDOW
-        near = F.flatten(F.transform(_let(_hashes(w), found_grams(GRAM)), lambda i: F.sequence(F.greatest(i - (SPAN - 1), F.lit(0)), F.least(i, last))))
-        out = [cut(w, F.when(last >= 0, F.array_distinct(near)).otherwise(none), WINDOW)]
-        out += [cut(w, _let(_hashes(w), found_grams(m)), m) for m in lengths]
-        return F.concat(*out)
-
-    return _let(w, of)
+    return let(_hashes(w), lambda h: F.concat(placed(h, GRAM, WINDOW), *[placed(h, m, m) for m in lengths]))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -105,16 +92,17 @@ def contamination(documents: DataFrame, items: DataFrame, key: str = "doc_id", t
     windows = classes.select("class", "m", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("m"))).alias("s"))
     windows = windows.select("class", "m", F.expr("slice(w, s + 1, m)").alias("window")).distinct()
     windows = checkpointed(windows.withColumn("wh", F.xxhash64("m", "window")))
-    n_prints, n_windows = prints.count(), windows.count()
+    n_windows = windows.count()
 
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("k"))
-    made = docs.select("key", "k", F.explode(_prints(words(F.col("text")), lengths)).alias("f"))
-    found = made.join(_sized(prints, n_prints), "f", "left_semi")
-    found = found.groupBy("key", "k").agg(F.collect_set("f").alias("found"))
-
-    near = docs.alias("d").join(found.alias("f").hint("shuffle_hash"), (F.col("d.k") == F.col("f.k")) & F.col("d.key").eqNullSafe(F.col("f.key")))
-    near = near.select("d.key", "d.k", F.explode(_spans(words(F.col("text")), F.col("found"), lengths)).alias("at"))
-    near = near.select("key", "k", F.struct("at.s", "at.m").alias("at"), "at.window").withColumn("wh", F.xxhash64("at.m", "window"))
+    made = docs.select("k", F.explode(_prints(words(F.col("text")), lengths)).alias("f"))
+    suspects = checkpointed(attached(made, prints, "f", "left_semi").select("k").distinct())
+
+    near = attached(docs, suspects, "k", "left_semi")
+    near = near.select("key", "k", F.explode(let(words(F.col("text")), lambda w: _all_grams(w, lengths))).alias("g")).select("key", "k", "g.*")
+    near = attached(near, prints, "f", "left_semi").select("key", "k", "m", "first", "context", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    at = F.struct((F.col("first") + F.col("i")).alias("s"), "m").alias("at")
+    near = near.select("key", "k", at, F.expr("slice(context, i + 1, m)").alias("window")).withColumn("wh", F.xxhash64("at.m", "window"))
     hit = near.join(_sized(windows.select("wh", "window", "class"), n_windows), ["wh", "window"]).select("key", "k", "at", "class").distinct()
     hit = checkpointed(hit)
 
