@@ -1,9 +1,9 @@
 """Main text of HTML pages: boilerplate elements and site templates are removed.
 
 Pages are read by a small tolerant parser (unclosed and misnested tags, raw-text elements, truncated pages). Elements
-that are boilerplate by their nature are dropped: menus, headers and footers of the page, sidebars, notices, adverts,
-forms, comments of readers, scripts, styles. Inside the article class names and ids must be whole words of the list, and ids of
-sections and headings say nothing. Dropped elements end as others do: with their own end, an implied one, or that of a parent. Then site templates: block subtrees are hashed, counted per host in Spark, and
+that say themselves that they are boilerplate are dropped: by their tag (menus, headers and footers of the page, sidebars, forms, dialogues, scripts, styles),
+their role, or a class that is one of a few whole names (adverts, notices, menus, sidebars, comments). They end as others do: with their own end, an implied one, or that of a parent.
+Everything else is for the count of site templates: block subtrees are hashed, counted per host in Spark, and
 deleted from ``MIN_PAGES`` on, however large the host is. Outside the article, and for link lists anywhere, pages are counted. Inside the article (``article``,
 ``main`` or role=main; pages that have one keep nothing else) all copies of an article recur with all they hold, so there the different surroundings are counted:
 the longest block of text elsewhere in the article. Hosts where that finds templates are read again without these, until no more are found. Subtrees that are more than half of
@@ -38,18 +38,16 @@ BROADCAST_SUBTREES = 1_000_000
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object noembed noframes xmp".split())
-_DROPPED = frozenset("nav footer aside form select button dialog head menu canvas audio video map".split()) | _RAW
+_RAW = frozenset("script style noscript template iframe textarea title svg noembed noframes".split())
+_DROPPED = frozenset("nav footer aside form select button dialog head menu".split()) | _RAW
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead tfoot caption figcaption legend optgroup option summary".split())
 _WHOLE = frozenset("html body article main".split())
 _INSIDE = 0x5DEECE66D1CE4E5B
 _SCOPES = frozenset("table ul ol dl td th body html article main section div blockquote".split())
-_MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond popup modal overlay toolbar skip".split()
-)
+#: Whole class names (and ids) that say outright what an element is: adverts, notices, menus, sidebars, comments. All else is for the count to find.
+_NAMED = frozenset("ad ads advert adverts advertisement sponsored notice cookie-notice cookie-banner menu navbar breadcrumbs sidebar comment comments".split())
 _TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -59,6 +57,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _boilerplate(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element is boilerplate by its tag, its role, being hidden, or its name."""
     if tag in _DROPPED or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -68,9 +67,8 @@ def _boilerplate(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return not {"comment", "comments"}.isdisjoint(classes)
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
-    if inside:  # whole names only, as parts of them and ids of sections and headings come from what the text is about
-        return not _MARKS.isdisjoint(classes) or tag not in _TITLED and name in _MARKS
-    return not _MARKS.isdisjoint(re.split(r"[\s_-]+", " ".join([*classes, name])))
+    # ids of sections and headings come from what the text is about
+    return not _NAMED.isdisjoint(classes) or name in _NAMED and (tag not in _TITLED or name == "comments")
 
 
 def _hash(data: bytes) -> int:
@@ -226,9 +224,10 @@ class Page:
                     self.run.append(" ") if tag == "br" else self._break() if tag == "hr" else None
                 continue
             empty = raw.rstrip().endswith("/")
+            if empty and tag in ("svg", "math"):
+                continue
             if tag in _RAW:
-                if not (empty and tag in ("svg", "math")):
-                    at = self._raw_end(html, tag, at)
+                at = self._raw_end(html, tag, at)
                 continue
             self._imply(tag)
             above = self.stack[-1]
