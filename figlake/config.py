@@ -14,6 +14,17 @@ def layout_enabled(value: str | None) -> bool:
     return (value or "").strip().lower() not in OFF_VALUES
 
 
+def load_env(path: str = ".env") -> None:
+    """Takes NAME=value lines of a file into the environment; what is set already stays, and a missing file is none."""
+    if not os.path.isfile(path):
+        return
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, sign, value = line.strip().removeprefix("export ").partition("=")
+            if sign and name.strip() and not name.startswith("#"):
+                os.environ.setdefault(name.strip(), value.strip().strip("'\""))
+
+
 @dataclass(frozen=True)
 class ExtractionConfig:
     """Lengths are in points (1/72 inch) unless a name says otherwise."""

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from figlake.config import ExtractionConfig
 from figlake.session import FigureEngine
+from figlake.sources.detector import default_detector
+from figlake.sources.pdf import PdfReader, read_pages
 from figlake.sources.reader import DetectorFactory
 
 
@@ -39,9 +41,11 @@ class DocumentParser:
     spark: SparkSession
     config: ExtractionConfig = field(default_factory=ExtractionConfig)
     detector: DetectorFactory | None = None
+    reader: PdfReader = read_pages
 
     def engine(self) -> FigureEngine:
-        return FigureEngine(self.spark, self.config, self.detector)
+        """With the detector given, else the layout model if it is switched on and installed."""
+        return FigureEngine(self.spark, self.config, self.detector or default_detector(self.config), self.reader)
 
     def parse(self, path: str) -> ParsedDocument:
         """Raises FileNotFoundError for a missing file and RuntimeError for one that cannot be read."""

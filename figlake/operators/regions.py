@@ -93,18 +93,36 @@ def detected_regions(bands: DataFrame, graphics: DataFrame, page: Column, config
 
 
 def locate_regions(captions: DataFrame, lines: DataFrame, graphics: DataFrame, page: Column, config: ExtractionConfig | None = None) -> DataFrame:
-    """captions with (region, method, direction); page is the page's box as a Column that holds for all rows."""
+    """captions with (region, method, direction); page is the page's box as a Column that holds for all rows.
+
+    One pass: captions meet the lines of their page once, for the edges of both bands, and its graphics once, for the hulls in both.
+    """
     config = config or ExtractionConfig()
-    out = captions
-    for direction in DIRECTIONS:
-        found = detected_regions(content_bands(captions, lines, direction, page), graphics, page, config)
-        out = out.join(found.withColumnsRenamed({"region": f"{direction}_region", "method": f"{direction}_method"}), list(KEY), "left")
-    rest = fallback(F.col("box"), column_of(F.col("box"), page), page, config)
-    return out.select(
-        *captions.columns,
-        F.coalesce("above_region", "below_region", rest).alias("region"),
-        F.coalesce("above_method", "below_method", F.lit(FALLBACK)).alias("method"),
-        F.when(F.col("above_region").isNotNull(), "above").when(F.col("below_region").isNotNull(), "below").otherwise("fallback").alias("direction"),
+    own = captions.select(*KEY, F.struct(*captions.columns).alias("own"), F.col("box").alias("caption")).withColumn("column", column_of(F.col("caption"), page))
+    met = own.join(lines.select(*PAGE, F.col("box").alias("line")), list(PAGE), "left")
+    hit = {d: is_boundary(F.col("line"), F.col("caption"), F.col("column"), d) for d in DIRECTIONS}
+    edges = met.groupBy(*KEY).agg(
+        F.first("own").alias("own"),
+        F.first("column").alias("column"),
+        F.max(F.when(hit["above"], F.col("line.bottom"))).alias("above"),
+        F.min(F.when(hit["below"], F.col("line.top"))).alias("below"),
+    )
+    bands = edges.withColumns({d: band(F.col("own.box"), F.col("column"), page, F.col(d), d) for d in DIRECTIONS})
+    met = bands.join(graphics.select(*PAGE, "kind", F.col("box").alias("graphic")), list(PAGE), "left")
+    held = {d: F.coalesce(in_band(F.col("graphic"), F.col("kind"), F.col(d), page), F.lit(False)) for d in DIRECTIONS}
+    hulls = met.groupBy(*KEY).agg(
+        *[F.first(c).alias(c) for c in ("own", "column", *DIRECTIONS)],
+        *[G.hull(F.when(held[d], F.col("graphic"))).alias(f"{d}_hull") for d in DIRECTIONS],
+        *[F.bool_or(held[d] & (F.col("kind") == "image")).alias(f"{d}_raster") for d in DIRECTIONS],
+    )
+    at = {d: F.when(F.coalesce(plausible(F.col(f"{d}_hull"), config), F.lit(False)), clipped(F.col(f"{d}_hull"), F.col(d), page)) for d in DIRECTIONS}
+    located = hulls.select("own", "column", *[at[d].alias(d) for d in DIRECTIONS], *[F.when(F.col(f"{d}_raster"), IMAGE).otherwise(VECTOR).alias(f"{d}_method") for d in DIRECTIONS])
+    first = lambda above, below, rest: F.when(F.col("above").isNotNull(), above).when(F.col("below").isNotNull(), below).otherwise(rest)
+    return located.select(
+        "own.*",
+        F.coalesce("above", "below", fallback(F.col("own.box"), F.col("column"), page, config)).alias("region"),
+        first(F.col("above_method"), F.col("below_method"), F.lit(FALLBACK)).alias("method"),
+        first(F.lit("above"), F.lit("below"), F.lit("fallback")).alias("direction"),
     )
 
 

@@ -15,7 +15,11 @@ from figlake.operators import captions as C
 from figlake.operators import layout as L
 from figlake.operators import regions as R
 from figlake.operators import render, resolve
+from figlake.session import FigureEngine
 from figlake.sources import derived as D
+from figlake.sources.samples import sample_files, save_samples
+from figlake.sources.store import delete, fresh_folder, materialised
+from figlake.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,3 +271,43 @@ def figure_metadata_json(spark: SparkSession, d: str) -> DataFrame:
 def index_manifest(spark: SparkSession, d: str) -> DataFrame:
     stems = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "stem"))), lambda x: x["stem"]), ",")
     return figures(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), stems.alias("stems"))
+
+
+def _drawn(paper: Column, method: Column) -> list[Column]:
+    """What the three queries over PDF files return of a figure."""
+    return [paper.alias("paper"), long("page_number"), "figure_id", "label", "number", "caption", method.alias("method"), *sides(F.col("bbox")), long("dpi"), long("width"), long("height")]
+
+
+@query
+def pdf_fixture_figures(spark: SparkSession, d: str) -> DataFrame:
+    """PDF files to figures: reader, lines, graphics, captions, regions, crops."""
+    _, found = FigureEngine(spark, CONFIG).extract(sample_files(spark, d))
+    return found.select(*_drawn(F.concat(F.lit("supplier "), "doc_id"), F.col("detection_method")))
+
+
+@query
+def export_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The dataset as it was written, read back from its indexes."""
+    engine, files, target = FigureEngine(spark, CONFIG), sample_files(spark, d), fresh_folder(spark, "export")
+    engine.export(files, *engine.extract(files), target)
+    index = spark.read.json(f"{target}/*/index.json", multiLine=True).select("source_pdf", F.explode("figures").alias("f"))
+    figures = index.select("source_pdf", "f.*").withColumnsRenamed({"bbox_pdf_points": "bbox"}).withColumns({"width": F.col("image_size_px")[0], "height": F.col("image_size_px")[1]})
+    out = materialised(figures.select(*_drawn(X.path_stem(F.col("source_pdf")), F.col("detection_method"))))
+    delete(spark, target)
+    return out
+
+
+@query
+def pdf_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Files that arrive in a folder, by the stream."""
+    folder = fresh_folder(spark, "stream")
+    save_samples(spark, d, f"{folder}/in")
+
+    def sink(files: DataFrame, pages: DataFrame, figures: DataFrame, number: int) -> None:
+        named = figures.join(pages.select("doc_id", "page_number", "source_path"), ["doc_id", "page_number"])
+        named.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    ingest(FigureEngine(spark, CONFIG), f"{folder}/in", f"{folder}/state", sink).awaitTermination()
+    out = materialised(spark.read.parquet(f"{folder}/out").select(*_drawn(X.path_stem(F.col("source_path")), F.col("detection_method"))))
+    delete(spark, folder)
+    return out

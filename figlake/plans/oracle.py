@@ -161,3 +161,11 @@ ORACLE_SQL = {
         "index_manifest": "SELECT doc_id, count(*) AS n, string_agg(stem, ',' ORDER BY seq) AS stems FROM figures GROUP BY doc_id",
     }.items()
 }
+
+#: What the sample files were drawn to give: the caption's figure is the frame, six points are added on each side for the crop.
+_SAMPLES = """SELECT 'supplier ' || s_suppkey AS paper, CAST(1 AS BIGINT) AS page_number, 'figure-' || s_suppkey AS figure_id, 'Figure ' || s_suppkey AS label, CAST(s_suppkey AS VARCHAR) AS number,
+    'Figure ' || s_suppkey || ': measured for supplier ' || s_suppkey || '.' AS caption, 'vector-cluster' AS method,
+    CAST(x AS DOUBLE) AS x0, CAST(792 - y - high AS DOUBLE) AS top, CAST(x + wide AS DOUBLE) AS x1, CAST(792 - y AS DOUBLE) AS bottom,
+    CAST(300 AS BIGINT) AS dpi, CAST(floor((wide + 12) * 300 / 72e0 + 0.5e0) AS BIGINT) AS width, CAST(floor((high + 12) * 300 / 72e0 + 0.5e0) AS BIGINT) AS height
+  FROM (SELECT s_suppkey, 90 + s_suppkey % 40 AS x, 320 + s_suppkey % 30 AS y, 180 + s_suppkey % 200 AS wide, 120 + s_suppkey % 90 AS high FROM supplier)"""
+ORACLE_SQL |= dict.fromkeys(("pdf_fixture_figures", "export_roundtrip", "pdf_stream_ingest"), _SAMPLES)

@@ -14,6 +14,7 @@ from figlake.operators import captions, layout, regions, render, resolve
 from figlake.sources.dataset import write_dataset
 from figlake.sources.pdf import PdfReader, read_pages
 from figlake.sources.reader import DetectorFactory, pdf_files, read_pdfs, render_figures
+from figlake.sources.store import materialised
 
 PAGE = ["doc_id", "page_number"]
 
@@ -81,13 +82,17 @@ class FigureEngine:
     def process(self, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(files, pages, figures) of the PDF files under a path."""
         files = pdf_files(self.spark, path)
-        pages = self.pages(files)
-        return files, pages, self.figures(pages)
+        return files, *self.extract(files)
+
+    def extract(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pages, figures), computed now and kept: every file is read, and every page shown to the detector, once."""
+        pages = materialised(self.pages(files))
+        return pages, materialised(self.figures(pages))
 
     def export(self, files: DataFrame, pages: DataFrame, figures: DataFrame, target: str, paper_name: str | None = None) -> None:
         """Writes a directory per document with PNG, TXT and JSON files and an index; documents without figures get an index too."""
         documents = pages.where("page_number IS NOT NULL").groupBy("doc_id").agg(F.min("source_path").alias("source_path"))
-        write_dataset(documents, self.rendered(files, figures), target, paper_name)
+        write_dataset(files, documents, figures, target, paper_name, self.reader)
 
     def register(self, pages: DataFrame, figures: DataFrame) -> None:
         """Temporary views pages, lines, graphics and figures for SQL."""

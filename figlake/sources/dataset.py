@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figlake.functions import text as X
+from figlake.sources.pdf import PdfReader, read_pages
+from figlake.sources.reader import drawn, with_asked
+from figlake.sources.store import materialised, opened, put
 
 
 class NameClash(ValueError):
@@ -36,51 +39,42 @@ def _dump(value: dict) -> bytes:
     return json.dumps(value, indent=2, ensure_ascii=False).encode()
 
 
-def write_dataset(documents: DataFrame, figures: DataFrame, target: str, paper_name: str | None = None) -> None:
-    """documents (doc_id, source_path); figures with png. The target is a folder or URI that all executors share.
+FIGURE = ("seq", "stem", "figure_id", "label", "number", "page_number", "caption", "detection_method", "dpi", "bbox", "width", "height", "crop")
 
-    A document's figures are written one after the other in its task, each in one go, so a task that is run again writes the same files.
+
+def write_dataset(files: DataFrame, documents: DataFrame, figures: DataFrame, target: str, paper_name: str | None = None, reader: PdfReader = read_pages) -> None:
+    """files with content; documents (doc_id, source_path); figures without pixels. The target is a folder or URI that all executors share.
+
+    What is known of a document's figures goes to its file; the task that has the file draws and writes them, so no pixels are shuffled. Each file is
+    written in one go, so a task that is run again writes the same files.
     """
     name = F.lit(paper_name) if paper_name else X.path_stem(F.col("source_path"))
     named = documents.withColumn("paper", X.safe_name(name))
     clash = named.groupBy("paper").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if clash:
         raise NameClash(f"{clash[0].n} documents would be written to {clash[0].paper}")
-    columns = ["figure_id", "label", "number", "page_number", "caption", "detection_method", "dpi", "bbox", "width", "height", "stem", "seq", "png"]
-    rows = named.join(figures.select("doc_id", *columns), "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    asked = figures.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*FIGURE))).alias("asked"))
+    asked = materialised(named.join(asked, "doc_id", "left").withColumn("asked", F.coalesce("asked", F.array())))
+    rows = with_asked(files.select("doc_id", "content"), asked, F.size("asked") + 1).select("paper", "source_path", "content", "asked")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
-        current, index = None, None
-
-        def put(path: str, data: bytes) -> None:
-            with store.open_output_stream(path) as f:
-                f.write(data)
-
-        def finish() -> None:
-            put(f"{root}/{current}/index.json", _dump(index))
-
+        store, root = opened(target)
         written = 0
         for batch in batches:
-            for row in batch.to_dict("records"):
-                if row["paper"] != current:
-                    if current is not None:
-                        finish()
-                    current, index = row["paper"], {"source_pdf": row["source_path"], "figures": []}
-                    store.create_dir(f"{root}/{current}", recursive=True)
-                if row["stem"] is None:
-                    continue
-                own = metadata(row)
-                if row["png"] is not None:
-                    put(f"{root}/{current}/{row['stem']}.png", bytes(row["png"]))
-                put(f"{root}/{current}/{row['stem']}.txt", row["caption"].encode())
-                put(f"{root}/{current}/{row['stem']}.json", _dump(own))
-                index["figures"].append({"stem": row["stem"], **own})
-                written += 1
-        if current is not None:
-            finish()
+            for x in batch.itertuples(index=False):
+                folder, entries, images = f"{root}/{x.paper}", [], {}
+                pages = {int(a["page_number"]) for a in x.asked}
+                for page in reader(bytes(x.content)) if pages else ():
+                    images |= {a["stem"]: drawn(page, a)[0] for a in x.asked if a["page_number"] == page.number}
+                for a in x.asked:
+                    own = metadata(a)
+                    if images.get(a["stem"]) is not None:
+                        put(store, f"{folder}/{a['stem']}.png", images[a["stem"]])
+                    put(store, f"{folder}/{a['stem']}.txt", a["caption"].encode())
+                    put(store, f"{folder}/{a['stem']}.json", _dump(own))
+                    entries.append({"stem": a["stem"], **own})
+                put(store, f"{folder}/index.json", _dump({"source_pdf": x.source_path, "figures": entries}))
+                written += len(entries)
         yield pd.DataFrame({"written": [written]})
 
     rows.mapInPandas(write, "written long").agg(F.sum("written")).collect()

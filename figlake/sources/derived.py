@@ -10,12 +10,9 @@ from figlake.functions import geometry as G
 def page_box() -> Column:
     return G.box(0.0, 0.0, 612.0, 792.0)
 
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
     odd = "doc_id % 4 = 2 AND line_no % 2 = 1"
@@ -31,12 +28,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"named_struct('x0', {x0}, 'top', 40e0 + {top}, 'x1', {x0} + least(length(t) + 8, CASE WHEN doc_id % 4 = 2 THEN 40 ELSE 80 END) * 5.5e0, 'bottom', 50e0 + {top}) AS box",
     )
 
-
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"))
     return table(spark, sf_dir, "lineitem").join(F.broadcast(n)).selectExpr("*", "l_orderkey % n_docs AS doc_id", "(l_linenumber - 1) % 3 + 1 AS page_number")
 
-
 def graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0 = "CASE WHEN l_suppkey % 20 = 7 THEN 6e0 ELSE 72e0 + l_partkey % 300 END"
     x1 = "CASE l_suppkey % 20 WHEN 7 THEN 606e0 WHEN 9 THEN 72e0 + l_partkey % 300 ELSE 72e0 + l_partkey % 300 + l_quantity * 7 END"
@@ -45,7 +40,6 @@ def graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "CASE l_suppkey % 4 WHEN 0 THEN 'image' ELSE 'vector' END AS kind"
     return _items(spark, sf_dir).selectExpr("doc_id", "page_number", kind, f"named_struct('x0', {x0}, 'top', {top}, 'x1', {x1}, 'bottom', {top} + {high}) AS box")
 
-
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw detections on page images of 1224 x 1584 pixels."""
     return _items(spark, sf_dir).selectExpr(

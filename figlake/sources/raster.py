@@ -1,7 +1,7 @@
 """Pixels of a page with numpy, and PNG files with zlib.
 
-Paths and simple images are drawn; letters are not (there are no font outlines). The size in pixels is exact, the content is not
-meant to match a full renderer.
+Paths and simple images are drawn; of letters, as there are no font outlines, a block for each where its ink would be, so that lines, words and the shape of
+lower and upper case show. The size in pixels is exact, the content is not meant to match a full renderer.
 """
 
 from __future__ import annotations
@@ -75,9 +75,30 @@ def render(page: Page, crop: tuple[float, float, float, float], wide: int, high:
     at = lambda points: (np.array(points, float) - (x0, top)) * scale
     for paint in page.paints:
         _draw(out, paint, [at(p) for p in paint.polygons], float(scale.mean()))
+    _letters(out, page, at)
     return out
 
 
+#: Heights of letters above the baseline and depths below it, as shares of the size.
+_TALL, _LOW, _DEEP = 0.70, 0.50, 0.20
+_INK, _SIDE = (48, 48, 48), 0.12
+
+
+def _letters(out: np.ndarray, page: Page, at) -> None:
+    inked = [c for c in page.chars if c.text.strip()]
+    if not inked:
+        return
+    tall = np.array([c.text[0].isupper() or c.text[0].isdigit() or c.text[0] in "bdfhklt()[]|/" for c in inked])
+    deep = np.array([c.text[0] in "gjpqy,;()[]|/" for c in inked])
+    x0, x1, base, size = (np.array([getattr(c, n) for c in inked]) for n in ("x0", "x1", "base", "size"))
+    side = (x1 - x0) * _SIDE
+    first = at(np.column_stack([x0 + side, base - size * np.where(tall, _TALL, _LOW)])).round().astype(int)
+    last = np.maximum(at(np.column_stack([x1 - side, base + size * np.where(deep, _DEEP, 0.0)])).round().astype(int), first + 1)
+    for (a, b), (c, d) in zip(np.maximum(first, 0).tolist(), last.tolist(), strict=True):
+        if c > a and d > b:
+            out[b:d, a:c] = _INK
+
+
 def _draw(out: np.ndarray, paint: Paint, polygons: list[np.ndarray], scale: float) -> None:
     if paint.image:
         _image(out, polygons[0], paint.image)

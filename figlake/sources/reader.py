@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from figlake import schemas as S
 from figlake.config import ExtractionConfig
 from figlake.sources.pdf import Page, PdfError, PdfReader, read_pages
+from figlake.sources.store import materialised
 
 #: (label, x0, y0, x1, y1, confidence) in pixels of the page image.
 Detection = tuple[str, float, float, float, float, float]
@@ -25,6 +26,8 @@ TIGHTER_GAPS = (0.15, 0.1, 0.07)
 REGION_PAD, REGION_SIDE = 2.0, 1.0
 #: Paths of repeated files that may be broadcast.
 BROADCAST_PATHS = 100_000
+#: Figures (of about a kilobyte) that may be broadcast to the files that they are drawn from.
+BROADCAST_FIGURES = 50_000
 #: PDF files in one batch of a Python worker.
 FILES_PER_BATCH = 8
 
@@ -60,7 +63,8 @@ class Reader:
         if self.detector not in _held:
             try:
                 _held[self.detector] = self.detector()
-            except Exception:  # noqa: BLE001  pages then take the heuristic path
+            except Exception as e:  # noqa: BLE001  pages then take the heuristic path
+                logging.getLogger(__name__).warning("no layout model (%s): figures are found from captions and geometry", e)
                 _held[self.detector] = None
         return _held[self.detector]
 
@@ -75,7 +79,8 @@ class Reader:
         out = []
         try:
             found = detector.detect(render(page, page.box, max(1, round((x1 - x0) * scale)), max(1, round((bottom - top) * scale))))
-        except Exception:  # noqa: BLE001  a page that the detector fails on takes the heuristic path
+        except Exception as e:  # noqa: BLE001  a page that the detector fails on takes the heuristic path
+            logging.getLogger(__name__).warning("the layout model failed on page %s: %s", page.number, e)
             return []
         for k, (label, a, b, c, d, confidence) in enumerate(found):
             area = (max(x0, x0 + a / scale - REGION_PAD), max(top, top + b / scale - REGION_PAD), min(x1, x0 + c / scale + REGION_PAD), min(bottom, top + d / scale + REGION_PAD))
@@ -105,15 +110,31 @@ class Reader:
 
 
 def pdf_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(doc_id, source_path, content) of PDF files: the id is the SHA-256 of the bytes. Files of equal bytes are one document, by the least path."""
-    files = with_ids(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path))
-    again = files.select("doc_id", "source_path").withColumn("first", F.min("source_path").over(W.partitionBy("doc_id"))).where("source_path <> first").select("source_path")
-    n = again.count()
-    return files.join(F.broadcast(again) if n <= BROADCAST_PATHS else again, "source_path", "left_anti").select("doc_id", "source_path", "content") if n else files
+    """(doc_id, source_path, content) of PDF files: the id is the SHA-256 of the bytes. Files of equal bytes are one document, by the least path.
+
+    Bytes are hashed once, into a table of ids. Few paths are broadcast to the files; of many, only those of repeated files.
+    """
+    loaded = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+    ids = materialised(with_ids(loaded).select("doc_id", "source_path"))
+    first = ids.groupBy("doc_id").agg(F.min("source_path").alias("source_path"))
+    if ids.count() <= BROADCAST_PATHS:
+        return loaded.select(_path(), "content").join(F.broadcast(first), "source_path").select("doc_id", "source_path", "content")
+    again = materialised(ids.join(first, ["doc_id", "source_path"], "left_anti").select("source_path"))
+    return with_ids(loaded).join(F.broadcast(again) if again.count() <= BROADCAST_PATHS else again, "source_path", "left_anti").select("doc_id", "source_path", "content")
+
+
+def _path() -> Column:
+    return F.regexp_replace("path", r"^file:/+", "/").alias("source_path")
 
 
 def with_ids(files: DataFrame) -> DataFrame:
-    return files.select(F.sha2("content", 256).alias("doc_id"), F.regexp_replace("path", r"^file:/+", "/").alias("source_path"), "content")
+    return files.select(F.sha2("content", 256).alias("doc_id"), _path(), "content")
+
+
+def with_asked(files: DataFrame, asked: DataFrame, weight: Column) -> DataFrame:
+    """Joins asked (doc_id, ..) to the files: broadcast if the sum of its rows' weights is small, so that files stay where they are."""
+    few = asked.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] <= BROADCAST_FIGURES
+    return files.join(F.broadcast(asked) if few else asked.hint("shuffle_hash"), "doc_id")
 
 
 def read_pdfs(files: DataFrame, config: ExtractionConfig | None = None, detector: DetectorFactory | None = None, reader: PdfReader = read_pages) -> DataFrame:
@@ -130,17 +151,25 @@ def read_pdfs(files: DataFrame, config: ExtractionConfig | None = None, detector
     return files.select("doc_id", "source_path", "content").mapInPandas(run, PAGES)
 
 
+def drawn(page: Page, figure: Any) -> tuple[bytes | None, str | None]:
+    """(PNG file, error) of a figure's crop."""
+    from figlake.sources.raster import png, render
+
+    try:
+        return png(render(page, tuple(figure["crop"][n] for n in ("x0", "top", "x1", "bottom")), int(figure["width"]), int(figure["height"]))), None
+    except (ValueError, MemoryError) as e:
+        return None, str(e)
+
+
 IMAGES = "doc_id string, page_number int, figure_id string, png binary, render_error string"
 
 
 def render_figures(files: DataFrame, figures: DataFrame, reader: PdfReader = read_pages) -> DataFrame:
     """(doc_id, page_number, figure_id, png, render_error): each file is opened once for all its figures; only names and boxes are shuffled with it."""
     item = F.struct("page_number", "figure_id", "crop", "width", "height")
-    asked = figures.groupBy("doc_id").agg(F.collect_list(item).alias("asked"))
+    asked = materialised(figures.groupBy("doc_id").agg(F.collect_list(item).alias("asked")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from figlake.sources.raster import png, render
-
         for batch in batches:
             for x in batch.itertuples(index=False):
                 wanted: dict[int, list] = {}
@@ -149,12 +178,9 @@ def render_figures(files: DataFrame, figures: DataFrame, reader: PdfReader = rea
                 for page in reader(bytes(x.content)):
                     rows = []
                     for a in wanted.get(page.number, ()):
-                        try:
-                            image, error = png(render(page, tuple(a["crop"][n] for n in ("x0", "top", "x1", "bottom")), int(a["width"]), int(a["height"]))), None
-                        except (ValueError, MemoryError) as e:
-                            image, error = None, str(e)
+                        image, error = drawn(page, a)
                         rows.append((x.doc_id, page.number, a["figure_id"], image, error))
                     if rows:
                         yield pd.DataFrame(rows, columns=["doc_id", "page_number", "figure_id", "png", "render_error"])
 
-    return files.dropDuplicates(["doc_id"]).join(asked, "doc_id").select("doc_id", "content", "asked").mapInPandas(run, IMAGES)
+    return with_asked(files, asked, F.size("asked")).select("doc_id", "content", "asked").mapInPandas(run, IMAGES)

@@ -23,7 +23,6 @@ def ingest(engine: FigureEngine, path: str, checkpoint: str, sink: Callable[[Dat
     """Hands (files, pages, figures, batch) of what is there to sink, then ends; the next call goes on from the checkpoint. A batch may be handed over again after a failure."""
 
     def batch(files: DataFrame, number: int) -> None:
-        pages = engine.pages(files)
-        sink(files, pages, engine.figures(pages), number)
+        sink(files, *engine.extract(files), number)
 
     return stream_files(engine.spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,34 +1,23 @@
-"""PDF files made from bytes."""
-
-import zlib
-
-
-def build(*contents: bytes, size=(612, 792), flate=False, image=False) -> bytes:
-    """A file with one page for each content stream; /F1 is Helvetica, /Im1 a 2 x 2 RGB image."""
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>".encode()]
-    kids = " ".join(f"{5 + 2 * k} 0 R" for k in range(len(contents)))
-    objects.append(f"<< /Type /Pages /Kids [{kids}] /Count {len(contents)} /MediaBox [0 0 {size[0]} {size[1]}] /Resources << /Font << /F1 3 0 R >> /XObject << /Im1 4 0 R >> >> >>".encode())
-    objects.append(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>")
-    objects.append(b"<< /Type /XObject /Subtype /Image /Width 2 /Height 2 /ColorSpace /DeviceRGB /BitsPerComponent 8 /Length 12 >>\nstream\n" + bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9]) + b"\nendstream")
-    for k, content in enumerate(contents):
-        data = zlib.compress(content) if flate else content
-        objects.append(f"<< /Type /Page /Parent 2 0 R /Contents {6 + 2 * k} 0 R >>".encode())
-        objects.append(f"<< /Length {len(data)}{' /Filter /FlateDecode' if flate else ''} >>\nstream\n".encode() + data + b"\nendstream")
-    out, offsets = b"%PDF-1.4\n", []
-    for n, body in enumerate(objects, 1):
-        offsets.append(len(out))
-        out += f"{n} 0 obj\n".encode() + body + b"\nendobj\n"
-    xref = len(out)
-    out += f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{o:010d} 00000 n \n".encode() for o in offsets)
-    return out + f"trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{xref}\n%%EOF\n".encode()
+"""Page contents for PDF files of tests."""
 
+from figlake.sources.pdf_writer import pdf_file, shown
+
+#: A frame with two bars, and their boxes in points from the page's top.
+DRAWING = b"90 300 m 90 520 l 400 520 l 400 300 l h S\n150 330 60 90 re f\n260 340 50 150 re f\n"
+BOXES = [(90.0, 272.0, 400.0, 492.0), (150.0, 372.0, 210.0, 462.0), (260.0, 302.0, 310.0, 452.0)]
+FRAME = BOXES[0]
+#: Pixels of the frame's crop.
+PIXELS = (1342, 967)
 
-def text(x, y, size, words) -> bytes:
-    return f"BT /F1 {size} Tf {x} {y} Td ({words}) Tj ET\n".encode()
 
+def build(*contents: bytes, size=(612, 792), flate=False) -> bytes:
+    return pdf_file(list(contents), size, flate)
 
-DRAWING = b"100 420 350 180 re S\n120 440 m 200 500 l S\n300 560 m 430 580 l S\n"
+
+def text(x, y, size, words) -> bytes:
+    return shown(x, y, size, words)
 
 
-def figure(caption, y=390) -> bytes:
-    return text(72, 700, 11, "This prose mentions Figure 7 and goes on for a while here.") + DRAWING + text(100, y, 10, caption)
+def figure(caption, y=270) -> bytes:
+    """A page with a line that only mentions a figure, the drawing, and a caption below it."""
+    return text(72, 640, 11, "Yields rose in both seasons, which Figure 9 of an earlier report shows too.") + DRAWING + text(95, y, 10, caption)
