@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from figlake.sources.store import checkpoint_folder as checkpoint_folder
+from figlake.sources.store import materialised as checkpointed
+
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -148,23 +152,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - begin, lengths) + np.arange(total, dtype=np.int64)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in checkpoint_folder()."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; only a session without one, as in tests, gets a folder of its own."""
-    context = spark.sparkContext
-    set_already = context._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get()
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="figlake-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores added, so that no column of df has it (case aside)."""
     taken = {c.lower() for c in df.columns}
@@ -255,10 +242,10 @@ def identified(df: DataFrame, key: str, text: str, out: str, first: str | None =
 FILTER_BITS = 28
 
 
-def _marked(df: DataFrame, side: DataFrame, on: str, mark: str) -> DataFrame:
-    """Adds whether a row's key may be one of side's: by a broadcast bitmap of hashed keys, of a size that does not depend on side."""
+def _marked(df: DataFrame, side: DataFrame, on: str, mark: str, n: int) -> DataFrame:
+    """Adds whether a row's key may be one of side's n: by a broadcast bitmap of hashed keys, of about eight bits a key and FILTER_BITS at most."""
     bucket, bits = fresh(df, "_bucket"), fresh(df, "_bits")
-    place = F.pmod(F.xxhash64(on), F.lit(1 << FILTER_BITS))
+    place = F.pmod(F.xxhash64(on), F.lit(1 << min(FILTER_BITS, (8 * n).bit_length())))
     maps = side.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -279,7 +266,7 @@ def attached(df: DataFrame, side: DataFrame, on: str, how: str = "left", small:
     if n > (1 << FILTER_BITS) // 3:
         return df.join(hashed, on, how)
     mark = fresh(df, "_mark")
-    marked = _marked(df, side, on, mark)
+    marked = _marked(df, side, on, mark, n)
     met = marked.where(F.col(mark)).drop(mark).join(hashed, on, how)
     if how in ("inner", "left_semi"):
         return met
@@ -289,6 +276,86 @@ def attached(df: DataFrame, side: DataFrame, on: str, how: str = "left", small:
     return met.unionByName(rest.select(*met.columns))
 
 
+#: Buckets of words that tasks' counts are summed up in.
+COUNT_BUCKETS = 64
+
+
+class Heavy:
+    """Counts of hashed words with bounded memory: after each overflow only the most frequent are kept."""
+
+    def __init__(self, limit: int):
+        self.limit, self.parts, self.held = limit, [], 0
+
+    def add(self, distinct: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((distinct, counts))
+        self.held += len(distinct)
+        if self.held > 8 * self.limit:
+            self.parts = [self._most(4 * self.limit)]
+            self.held = len(self.parts[0][0])
+
+    def _most(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        codes, distinct = pd.factorize(np.concatenate([p[0] for p in self.parts]))
+        counts = np.bincount(codes, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
+        if len(counts) > n:
+            keep = np.argpartition(-counts, n)[:n]
+            distinct, counts = distinct[keep], counts[keep]
+        return distinct, counts
+
+    def packed(self) -> tuple[pa.Array, pa.Array]:
+        """(bucket, words and their counts) of the most frequent words, for most_common."""
+        words, counts = self._most(self.limit)
+        bucket = (mix64(words) % U64(COUNT_BUCKETS)).astype(np.int64)
+        packed = [words[bucket == k].tobytes() + counts[bucket == k].astype(np.int64).tobytes() for k in range(COUNT_BUCKETS)]
+        return pa.array(np.arange(COUNT_BUCKETS, dtype=np.int32)), pa.array(packed, pa.binary())
+
+
+#: Tasks' results that are folded into one at a time.
+FAN = 64
+
+
+def task_number() -> int:
+    return TaskContext.get().partitionId()
+
+
+def folded(parts: DataFrame, fold) -> list[tuple[int, bytes]]:
+    """(key, packed) on the driver: parts (key int, task long, packed binary), which has a row for each key and task, is folded by fold(list of packed, whether this is the last round).
+
+    Rounds fold at most FAN rows at a time, so that no group grows with the number of tasks. parts is read more than once, so give a checkpoint.
+    """
+    n, schema = (parts.agg(F.max("task")).first()[0] or 0) + 1, "key int, task long, packed binary"
+    while True:
+        last = n <= FAN
+
+        def meet(table: pa.Table, last: bool = last) -> pa.Table:
+            group = pa.array([table.column("task")[0].as_py() // FAN], pa.int64())
+            return pa.table({"key": table.column("key").slice(0, 1), "task": group, "packed": pa.array([fold([x.as_py() for x in table.column("packed")], last)], pa.binary())})
+
+        parts = parts.groupBy("key", F.floor(F.col("task") / FAN)).applyInArrow(tidy_group(meet), schema)
+        if last:
+            return [(r.key, r.packed) for r in parts.collect()]
+        n = -(-n // FAN)
+
+
+def most_common(parts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, counts) of about the ``limit`` most frequent words of parts (key: bucket, task, packed), limit / COUNT_BUCKETS of each bucket: on the driver, 16 bytes each."""
+
+    def fold(packed: list[bytes], last: bool) -> bytes:
+        blobs = [np.frombuffer(x, U64) for x in packed]
+        words = np.concatenate([x[: len(x) // 2] for x in blobs])
+        codes, distinct = pd.factorize(words)
+        total = np.bincount(codes, np.concatenate([x[len(x) // 2 :] for x in blobs]).astype(np.int64), len(distinct)).astype(np.int64)
+        most = np.lexsort((distinct, -total))[: (1 if last else 4) * limit // COUNT_BUCKETS]
+        return distinct[most].tobytes() + total[most].tobytes()
+
+    blobs = [np.frombuffer(packed, U64) for _, packed in folded(parts, fold)] or [np.zeros(0, U64)]
+    hashes = np.concatenate([x[: len(x) // 2] for x in blobs])
+    counts = np.concatenate([x[len(x) // 2 :] for x in blobs]).astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
 def planes(column: np.ndarray) -> bytes:
     """The first bytes of all values, then the second bytes, and so on: bytes that hardly vary compress away."""
     return column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, from_planes, identified, let, mix64, planes, ranges, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import Heavy, attached, byte_hashes, checkpointed, fresh, from_planes, identified, let, mix64, most_common, planes, ranges, task_number, text_chunks, tidy, tidy_group, words_of
 
 NUM, DEN = 4, 5
 COMMON = 1 << 18
@@ -84,39 +84,14 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, rank=None) -> Sets:
     return Sets(text[own[heads]], number[own[heads]], heads, sizes, tokens, hashes, others, distinct, np.bincount(codes, minlength=len(distinct)))
 
 
-class _Heavy:
-    """Counts of tokens with bounded memory: after each overflow only the most frequent are kept."""
-
-    def __init__(self):
-        self.parts, self.held = [], 0
-
-    def add(self, distinct: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((distinct, counts))
-        self.held += len(distinct)
-        if self.held > 8 * COMMON:
-            self.parts = [self.most(4 * COMMON)]
-            self.held = len(self.parts[0][0])
-
-    def most(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        codes, distinct = pd.factorize(np.concatenate([p[0] for p in self.parts]))
-        counts = np.bincount(codes, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
-        if len(counts) > n:
-            keep = np.argpartition(-counts, n)[:n]
-            distinct, counts = distinct[keep], counts[keep]
-        return distinct, counts
-
-
 _LINES = "bucket int, h long, h2 long, uid long, line int, packed binary"
-COUNT_BUCKETS = 64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Set hashes, document and line of every line (bucket null); and packed counts of the task's tokens, by buckets of tokens."""
+    """Set hashes, document and line of every line (bucket null); and packed counts of the task's tokens, by buckets of tokens, with the task in uid."""
 
     def run(batches):
-        heavy = _Heavy()
+        heavy = Heavy(COMMON)
         for batch in batches:
             uids = batch.column("uid").to_numpy()
             for lo, hi, data, offsets in text_chunks(batch.column("text"), STEP_BYTES):
@@ -124,37 +99,13 @@ def _lines(docs: DataFrame) -> DataFrame:
                 if len(n := sets.heads):
                     heavy.add(sets.distinct, sets.counts)
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), pa.array(sets.hashes.view(np.int64)), pa.array(sets.others.view(np.int64)), pa.array(uids[lo:hi][sets.text]), pa.array(sets.line.astype(np.int32)), pa.nulls(len(n), pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
-        tokens, counts = heavy.most(COMMON)
-        bucket = (mix64(tokens) % np.uint64(COUNT_BUCKETS)).astype(np.int64)
-        packed = [tokens[bucket == k].tobytes() + counts[bucket == k].astype(np.int64).tobytes() for k in range(COUNT_BUCKETS)]
-        none = pa.nulls(COUNT_BUCKETS, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNT_BUCKETS, dtype=np.int32)), none, none, none, pa.nulls(COUNT_BUCKETS, pa.int32()), pa.array(packed, pa.binary())], names=[f.split()[0] for f in _LINES.split(", ")])
+        bucket, packed = heavy.packed()
+        none, task = pa.nulls(len(bucket), pa.int64()), pa.array([task_number()] * len(bucket), pa.int64())
+        yield pa.RecordBatch.from_arrays([bucket, none, none, task, pa.nulls(len(bucket), pa.int32()), packed], names=[f.split()[0] for f in _LINES.split(", ")])
 
     return docs.mapInArrow(tidy(run), _LINES)
 
 
-def _most_common(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, ranks by count) of about the COMMON most frequent tokens, COMMON / COUNT_BUCKETS of each bucket: at most a few megabytes."""
-
-    def add(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, np.uint64) for x in table.column("packed").to_pylist()]
-        tokens = np.concatenate([x[: len(x) // 2] for x in blobs])
-        counts = np.concatenate([x[len(x) // 2 :] for x in blobs]).astype(np.int64)
-        codes, distinct = pd.factorize(tokens)
-        total = np.bincount(codes, counts, len(distinct)).astype(np.int64)
-        most = np.lexsort((distinct, -total))[: COMMON // COUNT_BUCKETS]
-        return pa.table({"packed": pa.array([distinct[most].tobytes() + total[most].tobytes()], pa.binary())})
-
-    rows = lines.where("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(tidy_group(add), "packed binary").collect()
-    blobs = [np.frombuffer(r.packed, np.uint64) for r in rows] or [np.zeros(0, np.uint64)]
-    hashes = np.concatenate([x[: len(x) // 2] for x in blobs])
-    counts = np.concatenate([x[len(x) // 2 :] for x in blobs]).astype(np.int64)
-    ranks = np.empty(len(hashes), np.int64)
-    ranks[np.lexsort((hashes, counts))] = np.arange(1, len(hashes) + 1)
-    order = np.argsort(hashes)
-    return hashes[order], ranks[order]
-
-
 _PACK = (("tok", "<u4"), ("sid", "<u8"), ("uid", "<i8"), ("line", "<i4"), ("size", "<i4"), ("turn", "<i4"))
 #: Words of 64 bits that the signature of a set has: by its size, so that unlike sets differ in more bits than like ones may.
 SIGNATURES = ((48, 1), (96, 2), (224, 4), (1 << 62, 16))
@@ -401,7 +352,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, proposed: int = PROPOSED) -> DataFrame:
     """(uid, gone): the numbers of the lines that go, of documents (uid, text)."""
     lines = checkpointed(_lines(docs))
-    common = _most_common(lines)
+    hashes, counts = most_common(lines.where("bucket is not null").select(F.col("bucket").alias("key"), F.col("uid").alias("task"), "packed"), COMMON)
+    ranks = np.empty(len(hashes), np.int64)
+    ranks[np.lexsort((hashes, counts))] = np.arange(1, len(hashes) + 1)
+    common = (hashes, ranks)
     sets = lines.where("bucket is null").select("h", "h2", "uid", "line")
     # of sets with several lines only, and cut off, so that the join below can be split where a line is very frequent
     first = sets.groupBy("h", "h2").agg(F.min(F.struct("uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "first")

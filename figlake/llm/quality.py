@@ -1,15 +1,14 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer numpy network.
 
-Fitting. A bounded sample of labelled documents (``FIT_ROWS``, in the order of a hash of the id) gives, on executors, context
-vectors: every word has a sparse random index vector fixed by its hash, and a word's context vector is the sum of the
-index vectors of the words up to ``REACH`` places away. The ``VOCABULARY`` most frequent words of the sample keep theirs. The
-look of a word (case, length, symbols, equal to the word before) is a second kind of word with index vectors of its own,
+Fitting. Every word has a sparse random index vector fixed by its hash, and a word's context vector is the sum of the
+index vectors of the words up to ``REACH`` places away, over all documents. The ``VOCABULARY`` most frequent words of all documents have
+one; a task sums up its own before they are shuffled. The look of a word (case, length, symbols, equal to the word before) is a second kind of word with index vectors of its own,
 so words that were never seen still count. A document is the mean of both kinds of vectors over all its words. On the
-sample's document vectors a network with one hidden layer is trained, and its temperature is chosen on a part kept
+document vectors of a bounded sample of labelled documents (``FIT_ROWS``, in the order of a hash of the id) a network with one hidden layer is trained, and its temperature is chosen on a part kept
 from the training. Only bounded things reach the driver: the vocabulary's vectors and the sample's document vectors.
 
 Scoring reads every whole text. Defined cases: null and empty texts have the zero vector and get a score as well;
-without labels of both kinds every score is 0.5 or the one label seen; repeated rows score alike; labels that
+without labels of both kinds every score is 0.5 or the one label seen; an empty table stays empty; repeated rows score alike; labels that
 repeat an id count once (the greater); other columns are kept, and a clash with the score's name raises ValueError.
 """
 
@@ -24,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import byte_hashes, checkpointed, mix64, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import Heavy, byte_hashes, checkpointed, folded, from_planes, mix64, most_common, planes, task_number, text_chunks, tidy, words_of
 
 FIT_ROWS, VOCABULARY = 6_000, 16_384
 DIMENSIONS, LOOKS, ENTRIES, REACH = 64, 128, 4, 2
+#: Words whose sums travel together.
+PIECE = 512
+PARTS = "key int, task long, packed binary"
 HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 1600, 128, 3e-3, 1e-4
 #: Vectors of texts of few words are drawn towards the centre; standardised components end at FAR.
 FEW, FAR = 3, 6.0
@@ -67,50 +69,60 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, look.astype(np.uint64), owner
 
 
-def _contexts(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes, counts, summed index vectors of the neighbours)."""
-    codes, distinct = pd.factorize(hashes)
-    places, signs = index_entries(distinct, DIMENSIONS)
-    sums = np.zeros((len(distinct), DIMENSIONS), np.float32)
-    for gap in range(1, REACH + 1):
-        near = owner[gap:] == owner[:-gap]
-        a, b = codes[:-gap][near], codes[gap:][near]
-        for x, y in ((a, b), (b, a)):
-            flat = (x[:, None] * DIMENSIONS + places[y]).ravel()
-            sums += np.bincount(flat, signs[y].ravel(), len(distinct) * DIMENSIONS).reshape(sums.shape).astype(np.float32)
-    return distinct, np.bincount(codes, minlength=len(distinct)), sums
+def vocabulary(docs: DataFrame, text: str) -> np.ndarray:
+    """Hashes, in ascending order, of about the VOCABULARY most frequent words of all texts, seen three times or more."""
+
+    def count(batches):
+        heavy = Heavy(VOCABULARY)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0), STEP_BYTES):
+                starts, ends, _ = words_of(data, offsets, _SPACE)
+                codes, distinct = pd.factorize(byte_hashes(data, starts, ends))
+                heavy.add(distinct, np.bincount(codes, minlength=len(distinct)))
+        bucket, packed = heavy.packed()
+        yield pa.RecordBatch.from_arrays([bucket, pa.array([task_number()] * len(bucket), pa.int64()), packed], names=["key", "task", "packed"])
+
+    hashes, counts = most_common(checkpointed(docs.select(text).mapInArrow(tidy(count), PARTS)), VOCABULARY)
+    return hashes[counts >= 3]
 
 
-def context_vectors(sample: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, unit context vectors) of the most frequent words of the sample."""
+def context_vectors(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, unit context vectors) of the vocabulary, from all occurrences in all texts. Sums are of whole numbers, so they do not depend on how the texts are dealt out."""
+    known = vocabulary(docs, text)
+    if not len(known):
+        return known, np.zeros((1, DIMENSIONS), np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    pieces = -(-len(known) // PIECE)
 
     def collect(batches):
+        hashes = shared.value
+        sums = np.zeros(len(hashes) * DIMENSIONS, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0), STEP_BYTES):
-                hashes, _, owner = _words(data, offsets)
-                if len(hashes):
-                    distinct, counts, sums = _contexts(hashes, owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(counts, pa.int64()), pa.array([r.tobytes() for r in sums], pa.binary())], names=["h", "n", "v"])
-
-    def add(table: pa.Table) -> pa.Table:
-        """Sums of the words of one bucket."""
-        h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
-        v = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(len(h), DIMENSIONS)
-        codes, distinct = pd.factorize(h)
-        counts = np.bincount(codes, n).astype(np.int64)
-        sums = np.zeros((len(distinct), DIMENSIONS), np.float32)
-        np.add.at(sums, codes, v)
-        return pa.table([pa.array(distinct), pa.array(counts), pa.array([r.tobytes() for r in sums], pa.binary())], names=["h", "n", "v"])
-
-    schema = "h long, n long, v binary"
-    parts = sample.select(text).mapInArrow(tidy(collect), schema).groupBy(F.pmod("h", F.lit(64)).alias("bucket")).applyInArrow(tidy_group(add), schema)
-    rows = parts.where("n >= 3").orderBy(F.desc("n"), "h").limit(VOCABULARY).collect()
-    hashes = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    vectors = np.frombuffer(b"".join(r.v for r in rows), np.float32).reshape(len(rows), DIMENSIONS)
+                starts, ends, owner = words_of(data, offsets, _SPACE)
+                codes, distinct = pd.factorize(byte_hashes(data, starts, ends))
+                places, signs = index_entries(distinct, DIMENSIONS)
+                at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+                at = np.where(hashes[at] == distinct, at * DIMENSIONS, -1)
+                places, signs = places.astype(np.int32), signs.astype(np.int64)
+                for gap in range(1, REACH + 1):
+                    near = owner[gap:] == owner[:-gap]
+                    a, b = codes[:-gap][near], codes[gap:][near]
+                    for x, y in ((a, b), (b, a)):
+                        own = at[x]
+                        y, own = y[own >= 0], own[own >= 0]
+                        np.add.at(sums, (own[:, None] + places[y]).ravel(), signs[y].ravel())
+        sums = sums.reshape(len(hashes), DIMENSIONS)
+        packed = [planes(np.ascontiguousarray(sums[k * PIECE : (k + 1) * PIECE].ravel())) for k in range(pieces)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), pa.array([task_number()] * pieces, pa.int64()), pa.array(packed, pa.binary())], names=["key", "task", "packed"])
+
+    def add(packed: list[bytes], last: bool) -> bytes:
+        return planes(sum(from_planes(x, "<i8", len(x) // 8, 0) for x in packed))
+
+    parts = checkpointed(docs.select(text).mapInArrow(tidy(collect), PARTS))
+    vectors = np.concatenate([from_planes(x, "<i8", len(x) // 8, 0) for _, x in sorted(folded(parts, add))]).reshape(len(known), DIMENSIONS).astype(np.float64)
     vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    vectors = vectors - vectors.mean(axis=0) if len(rows) else vectors
-    order = np.argsort(hashes)
-    return hashes[order], np.concatenate([vectors[order], np.zeros((1, DIMENSIONS))]).astype(np.float32)
+    return known, np.concatenate([vectors - vectors.mean(axis=0), np.zeros((1, DIMENSIONS))]).astype(np.float32)
 
 
 #: (shift, mask) of a look's parts: repeated, case, symbols, digits, length, last symbol; then the look as a whole. Each has an index vector.
@@ -211,7 +223,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     marked = marked.groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS)
     sample = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key").groupBy("key").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
     sample = checkpointed(sample)
-    hashes, vectors = context_vectors(sample, "text")
+    seen = {r.y for r in sample.select("y").distinct().collect()}
+    if len(seen) < 2:
+        return float(seen.pop()) if seen else 0.5
+    hashes, vectors = context_vectors(documents, text)
 
     def vectors_of(batches):
         for batch in batches:
@@ -219,9 +234,6 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in pooled(data, offsets, hashes, vectors)], pa.binary()), batch.column(2).slice(lo, hi - lo)], names=["key", "x", "y"])
 
     rows = sample.select("text", F.col("key").cast("string").alias("key"), "y").mapInArrow(tidy(vectors_of), "key string, x binary, y int").orderBy("key").collect()
-    seen = {r.y for r in rows}
-    if len(seen) < 2:
-        return float(seen.pop()) if seen else 0.5
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
     return train(x, np.array([r.y for r in rows]), hashes, vectors)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from figlake.llm import bpe, chosen_path, decontam, line_dedup, recompress, shard, token_count
+from figlake.llm import bpe, chosen_path, common, decontam, line_dedup, recompress, shard, token_count
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -25,6 +25,15 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoding(public):
+    """text -> ids, by the public library."""
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: own.encode_ordinary(text or "")
+
+
 def encoded(texts):
     steps = list(bpe.encode_steps(pa.array(texts, pa.string()), P.path("byte_bpe_50k.tiktoken")))
     return [np.frombuffer(x.as_py(), "<u4").tolist() for _, _, ids, _ in steps for x in ids], steps
@@ -236,29 +245,44 @@ def test_repeated_rows_are_one_document(spark):
     assert chosen_path.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
 
 
-def test_decontamination(spark, documents, empty):
-    df, texts = documents
-    some = [t for t in texts.values() if t and len(t.split()) > 40]
-    items = [(1, " ".join(some[0].split()[5:30])), (2, some[1].split()[3].upper() + " " + some[1].split()[4]), (3, None), (4, "  "), (5, " ".join(some[2].split()[2:15])), (50, " ".join(some[2].split()[2:15])), (6, "never seen words"), (None, " ".join(some[3].split()[:11])), (7, " ".join(some[4].split()[1:8]))]
+def item_windows(items):
+    """text -> (number of words, places hit, ids of items hit), by all windows of the items."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    lower = {c: c + 32 for c in range(65, 91)}
+    words = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     windows = defaultdict(set)
     for i, t in items:
-        w = word.findall((t or "").translate(lower))
+        w = words(t)
         for s in range(len(w) - min(10, len(w)) + 1):
             if w:
                 windows[tuple(w[s : s + 10])].add(i)
-    got = {r.doc_id: r for r in decontam.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    hits = 0
-    for d, t in texts.items():
-        w, hit, found = word.findall((t or "").translate(lower)), set(), set()
+
+    def of(text):
+        w, hit, found = words(text), set(), set()
         for m in {len(x) for x in windows}:
             for s in range(len(w) - m + 1):
                 if tuple(w[s : s + m]) in windows:
                     hit.update(range(s, s + m))
                     found |= {str(i) for i in windows[tuple(w[s : s + m])] if i is not None}
+        return len(w), hit, sorted(found)
+
+    return of
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_decontamination(spark, documents, empty, monkeypatch, few):
+    if few is not None:  # fingerprints, windows and suspects are shuffled
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", few)
+        monkeypatch.setattr(common, "BROADCAST_ELEMENTS", few)
+    df, texts = documents
+    some = [t for t in texts.values() if t and len(t.split()) > 40]
+    items = [(1, " ".join(some[0].split()[5:30])), (2, some[1].split()[3].upper() + " " + some[1].split()[4]), (3, None), (4, "  "), (5, " ".join(some[2].split()[2:15])), (50, " ".join(some[2].split()[2:15])), (6, "never seen words"), (None, " ".join(some[3].split()[:11])), (7, " ".join(some[4].split()[1:8]))]
+    plain = item_windows(items)
+    got = {r.doc_id: r for r in decontam.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    hits = 0
+    for d, t in texts.items():
+        n, hit, found = plain(t)
         hits += bool(hit)
-        assert (got[d].n_words, got[d].n_hit, got[d]["items"]) == (len(w), len(hit), sorted(found)), d
+        assert (got[d].n_words, got[d].n_hit, got[d]["items"]) == (n, len(hit), found), d
     assert hits > 5
     assert decontam.contamination(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontam.contamination(df, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
