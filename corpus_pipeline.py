@@ -1,19 +1,25 @@
 """The corpus pipeline: quality, line dedup, near duplicates, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again as the next stage's docs.
+
+Defined cases: a null or empty text gets a score as any other and is kept or not by it; it has no lines, no near duplicates and no
+windows, and encodes to no ids. Documents that repeat an id, or have none, are told apart, in the order that ``identified`` gives them; rows that repeat
+both id and text lose their later copies in the line stage (or, without words, in the stage of near duplicates). Of equal lines the first document's stays, of near
+duplicates the one with the least id. Very long texts are read whole. Empty tables pass through all stages; without labels nothing is rejected. Columns other
+than those of documents are dropped at the first stage, so none can clash.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figlake.llm import bpe, chosen_path, decontam, line_dedup
-from figlake.llm.common import attached, checkpoint_folder, checkpointed, identified, table
+from figlake.llm.common import attached, checkpointed, identified, table
 from figlake.llm.queries import LEAST_SCORE, quality_scores, vocabulary_path
+from figlake.sources.store import delete, fresh_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,16 +69,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", token_stage),
 ]
 
-#: Training a network and tokenising are beyond SQL; tests/llm compares each stage with a brute-force version.
+#: Training a network and tokenising are beyond SQL; test_pipeline_stages compares each stage with a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the folder of the checkpoints."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+    """All stages over documents. What lies between them is written beside the checkpoints and deleted when the next stage is written; what the last one reads stays."""
+    docs, folder, before = table(spark, sf_dir, "documents"), fresh_folder(spark, "pipeline"), None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
+    return STAGES[-1][1](spark, docs, sf_dir)
