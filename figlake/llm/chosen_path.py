@@ -8,8 +8,8 @@ similarity of their sets is ``NUM/DEN`` = 0.8 or more.
    ``DEPTH`` of its sampled shingles and shares about 0.8 * RUNS * CHOSEN. Equal sets (by 128 bits) count as one from here on, with their number kept.
 2. The sets are split by their smallest sampled shingles; a bucket of more than ``LEAF`` sets is split again by a further
    sampled shingle, and so on down the path, at most ``DEPTH`` times (``_split``). A pair goes down the path of its smallest shared ones and is
-   compared in one bucket only, the first small one on that path. Sets that share ``DENSE`` of their further shingles with the average set of a bucket would not be
-   told apart by more of them: these (families of near copies, as a rule), and sets at the end of their path, are compared with their whole bucket by blocks and go no further.
+   compared in one bucket only, the first small one on that path. A bucket whose sets share ``DENSE`` of their further shingles on average (a family of
+   near copies, as a rule) would not be told apart by more of them: its sets, and sets at the end of their path, are compared with their whole bucket by blocks and go no further.
 3. Blocks hold ``BLOCK`` sets, so no task gets more than two of them. A bucket first tells which sets have a partner there; only
    their shingles are sent there, and every pair is verified by all its shingles.
 4. A bucket returns, for each set, the documents linked to it and one link of a spanning forest, never all pairs.
@@ -36,6 +36,8 @@ from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, ident
 NUM, DEN, WORDS = 4, 5, 5
 CHOSEN, DEPTH, TARGET = 8, 6, 0.999995
 LEAF, BLOCK, DENSE, SMALL = 1024, 1024, 0.25, 48
+#: About as many sets of a large bucket are asked what they have in common.
+ASKED = 64
 DOCS_PER_BUCKET = 1000
 STEP_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
@@ -226,11 +228,12 @@ def _split(lists: DataFrame) -> DataFrame:
         if not some:
             break
         rows = checkpointed(attached(down, large, "path", "inner"))
-        # the share of a set's further shingles that the average other set of the bucket has
-        further = rows.select("path", "uid", "n", F.explode(F.slice("toks", F.col("at") + 2, F.size("toks"))).alias("t"))
-        counts = further.groupBy("path", "t").agg(F.count("*").alias("c"))
-        share = further.join(counts, ["path", "t"]).groupBy("path", "uid").agg(F.avg((F.col("c") - 1) / (F.col("n") - 1)).alias("share"))
-        rows = rows.join(share, ["path", "uid"], "left").withColumn("dense", (F.col("need") <= depth) | (F.coalesce("share", F.lit(1.0)) >= DENSE)).drop("n", "share")
+        # the share of further shingles that two sets of the bucket have in common: an estimate is enough, as it only decides which way is cheaper
+        asked = rows.where(F.pmod(F.xxhash64("uid", "path"), F.ceil(F.col("n") / ASKED)) == 0)
+        counts = asked.select("path", F.explode(F.slice("toks", F.col("at") + 2, F.size("toks"))).alias("t")).groupBy("path", "t").agg(F.count("*").alias("c"))
+        pairs = counts.groupBy("path").agg(F.sum("c").alias("all"), F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"))
+        share = asked.groupBy("path").agg(F.count("*").alias("m")).join(pairs, "path").where("m > 1").select("path", (F.col("pairs") / F.col("all") / (F.col("m") - 1)).alias("share"))
+        rows = attached(rows, checkpointed(share), "path").withColumn("dense", (F.col("need") <= depth) | (F.coalesce("share", F.lit(1.0)) >= DENSE)).drop("n", "share")
         rows = checkpointed(rows)
         blocks = rows.groupBy("path").agg(F.ceil(F.count_if("dense") / BLOCK).cast("int").alias("first"), F.ceil(F.count_if(~F.col("dense")) / BLOCK).cast("int").alias("rest"))
         met = rows.join(blocks.where("first > 0"), "path")  # dense sets have the first blocks and meet all; the others meet only these
@@ -243,6 +246,11 @@ def _split(lists: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """df by buckets, over as many tasks as the work is worth: it is more than its bytes tell."""
+    return df.repartition(max(8, buckets // 4), "bucket")
+
+
 def _partners(posts: DataFrame) -> DataFrame:
     """(uid, place): in which buckets a set has a pair to be compared."""
 
@@ -340,7 +348,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = checkpointed(lists.where(F.size("toks") >= F.col("need")))
     spread = F.pmod(F.xxhash64("path", "i", "j"), F.lit(buckets)).cast("int")
     posts = _split(lists).select("uid", "size", "toks", "place.*").withColumn("bucket", spread)
-    met = _partners(posts).groupBy("uid").agg(F.collect_set(F.struct(*_PLACES)).alias("at"))
+    met = _partners(_dealt(posts, buckets)).groupBy("uid").agg(F.collect_set(F.struct(*_PLACES)).alias("at"))
     side = met.join(lists.select("uid", "size", "toks"), "uid").join(classes.select(F.col("first").alias("uid"), "copies"), "uid")
     asked = attached(docs, checkpointed(side), "uid", "inner")
 
@@ -355,7 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     place = f"array<struct<{_PLACE.replace(' ', ':')}>>".replace(",:", ",")
     sent = asked.select("text", "uid", "size", "toks", "copies", "at").mapInArrow(tidy(shingles), f"uid long, size int, toks array<int>, copies long, at {place}, shingles binary")
     sent = sent.select("uid", "size", "toks", "copies", "shingles", F.explode("at").alias("at")).select("uid", "size", "toks", "copies", "shingles", "at.*").withColumn("bucket", spread)
-    linked = checkpointed(_linked(sent))
+    linked = checkpointed(_linked(_dealt(sent, buckets)))
     links = linked.groupBy("uid").agg(F.sum("links").alias("links"))
     groups = groups_of(linked)
     of_class = classes.join(links.withColumnRenamed("uid", "first"), "first", "left").join(groups.withColumnsRenamed({"uid": "first", "least": "group"}), "first", "left")
