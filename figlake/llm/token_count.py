@@ -51,7 +51,6 @@ class _Json:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.added = {token.content for token in self.model.get_added_tokens_decoder().values() if token.special}
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x.ids) for x in self.model.encode_batch(texts, add_special_tokens=False)]
