@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, identified, mix64, plain, ranges, run_hashes, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, hottest, identified, mix64, plain, posts, ranges, run_hashes, text_chunks, tidy, tidy_group, words_of
 
 NUM, DEN, WORDS = 4, 5, 5
 CHOSEN, DEPTH, TARGET = 8, 6, 0.999995
@@ -98,8 +98,9 @@ _PACK = (("tok", "<i8"), ("uid", "<i8"), ("same", "<i8"), ("same2", "<i8"), ("si
 _WIDTH = sum(np.dtype(kind).itemsize for _, kind in _PACK)
 
 
-def _chosen(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, packed): the shingles that each set samples in all runs."""
+def _chosen(docs: DataFrame, buckets: int, hot: list[np.ndarray]) -> DataFrame:
+    """(bucket, packed): the shingles that each set samples in all runs; those of a hot set once, where its first document is."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for batch in batches:
@@ -112,6 +113,9 @@ def _chosen(docs: DataFrame, buckets: int) -> DataFrame:
                 order = np.lexsort((own, same2, same))
                 kept = np.zeros(len(same), bool)  # equal sets of a step are sampled once
                 kept[order[np.r_[True, (same[order][1:] != same[order][:-1]) | (same2[order][1:] != same2[order][:-1])]]] = True
+                kept &= posts(shared.value, same, same2, own)
+                if not kept.any():
+                    continue
                 of = np.repeat(np.arange(len(heads)), sizes)
                 bound = (np.minimum(CHOSEN / sizes, 1.0) * float(1 << 53)).astype(np.int64)[of]
                 pick = np.zeros(len(tokens), bool)
@@ -119,6 +123,8 @@ def _chosen(docs: DataFrame, buckets: int) -> DataFrame:
                     pick |= (mix64(tokens + np.uint64(((k + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.int64) < bound
                 pick &= kept[of]
                 of, tok = of[pick], tokens[pick]
+                if not len(tok):
+                    continue
                 bucket = (mix64(tok) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 of, tok, bucket = of[order], tok[order], bucket[order]
@@ -251,7 +257,7 @@ def _dealt(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(max(8, buckets // 4), "bucket")
 
 
-def _partners(posts: DataFrame) -> DataFrame:
+def _partners(placed: DataFrame) -> DataFrame:
     """(uid, place): in which buckets a set has a pair to be compared."""
 
     def meet(table: pa.Table) -> pa.Table:
@@ -259,7 +265,7 @@ def _partners(posts: DataFrame) -> DataFrame:
         _, _, a, b = _bucket_pairs(table)
         return table.take(pa.array(np.unique(np.concatenate([a, b])))).select(["uid", *_PLACES])
 
-    return posts.groupBy("bucket").applyInArrow(tidy_group(meet), f"uid long, {_PLACE}")
+    return placed.groupBy("bucket").applyInArrow(tidy_group(meet), f"uid long, {_PLACE}")
 
 
 _LINKS = "uid long, links long, root long"
@@ -344,11 +350,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = checkpointed(_sets(docs).distinct())
     classes = checkpointed(same.groupBy("same", "same2").agg(F.min("uid").alias("first"), F.count("*").alias("copies")))
     need = F.least(F.lit(DEPTH), F.ceil(F.col("size") * NUM / DEN)).cast("int")
-    lists = _shared(_chosen(docs, buckets)).groupBy("uid", "size").agg(F.array_sort(F.collect_set("tok")).alias("toks")).withColumn("need", need)
+    lists = _shared(_chosen(docs, buckets, hottest(classes, "copies", ["same", "same2", "first"]))).groupBy("uid", "size").agg(F.array_sort(F.collect_set("tok")).alias("toks")).withColumn("need", need)
     lists = checkpointed(lists.where(F.size("toks") >= F.col("need")))
     spread = F.pmod(F.xxhash64("path", "i", "j"), F.lit(buckets)).cast("int")
-    posts = _split(lists).select("uid", "size", "toks", "place.*").withColumn("bucket", spread)
-    met = _partners(_dealt(posts, buckets)).groupBy("uid").agg(F.collect_set(F.struct(*_PLACES)).alias("at"))
+    placed = _split(lists).select("uid", "size", "toks", "place.*").withColumn("bucket", spread)
+    met = _partners(_dealt(placed, buckets)).groupBy("uid").agg(F.collect_set(F.struct(*_PLACES)).alias("at"))
     side = met.join(lists.select("uid", "size", "toks"), "uid").join(classes.select(F.col("first").alias("uid"), "copies"), "uid")
     asked = attached(docs, checkpointed(side), "uid", "inner")
 

@@ -356,6 +356,28 @@ def most_common(parts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
+#: Sets that stand at least HOT times, the HOTTEST most frequent of them, are known to all tasks: some forty bytes each.
+HOT, HOTTEST = 16, 100_000
+
+
+def hottest(found: DataFrame, count: str, columns: list[str]) -> list[np.ndarray]:
+    """The columns (longs; the first two are the hashes of a set) of the most frequent rows of found, in the order of the first."""
+    rows = found.where(F.col(count) >= HOT).orderBy(F.desc(count), *columns[:2]).limit(HOTTEST).select(*columns).toArrow()
+    out = [rows.column(c).to_numpy() for c in columns]
+    order = np.argsort(out[0], kind="stable")
+    return [x[order] for x in out]
+
+
+def posts(hot: list[np.ndarray], first: np.ndarray, second: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which sets (by their two hashes) are to be posted from this place: all that are not among the hot ones, and those that stand here first of all. So a set that is everywhere is posted once."""
+    out = np.ones(len(first), bool)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], first), len(hot[0]) - 1)
+        known = (hot[0][at] == first) & (hot[1][at] == second)
+        out = ~known | np.logical_and.reduce([known, *[own[at] == x for own, x in zip(hot[2:], place, strict=True)]])
+    return out
+
+
 def planes(column: np.ndarray) -> bytes:
     """The first bytes of all values, then the second bytes, and so on: bytes that hardly vary compress away."""
     return column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes()

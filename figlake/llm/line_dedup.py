@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import Heavy, attached, byte_hashes, checkpointed, fresh, from_planes, identified, let, mix64, most_common, planes, ranges, task_number, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import Heavy, attached, byte_hashes, checkpointed, fresh, from_planes, hottest, identified, let, mix64, most_common, planes, posts, ranges, task_number, text_chunks, tidy, tidy_group, words_of
 
 NUM, DEN = 4, 5
 COMMON = 1 << 18
@@ -130,12 +130,12 @@ def _packed(columns: dict[str, np.ndarray], sigs: np.ndarray) -> bytes:
     return n.to_bytes(4, "little") + b"".join(planes(np.ascontiguousarray(columns[name])) for name, _ in _PACK) + sigs.tobytes()
 
 
-def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """(bucket, packed postings): a row for each bucket and step."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], hot: list[np.ndarray], buckets: int) -> DataFrame:
+    """(bucket, packed postings): a row for each bucket and step; hot sets are posted once, where their first line is."""
+    shared = docs.sparkSession.sparkContext.broadcast((common, hot))
 
     def rank(distinct: np.ndarray) -> np.ndarray:
-        hashes, ranks = shared.value
+        hashes, ranks = shared.value[0]
         if not len(hashes):
             return np.zeros(len(distinct), np.int64)
         at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
@@ -152,6 +152,9 @@ def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: i
                 of_uid = uids[lo:hi][sets.text]
                 order = np.lexsort((sets.line, of_uid, sets.hashes))
                 kept = order[np.r_[True, sets.hashes[order][1:] != sets.hashes[order][:-1]]]
+                kept = kept[posts(shared.value[1], sets.hashes[kept].view(np.int64), sets.others[kept].view(np.int64), of_uid[kept], sets.line[kept])]
+                if not len(kept):
+                    continue
                 words, begin = signatures(sets)
                 prefix = (sets.sizes - (NUM * sets.sizes + DEN - 1) // DEN + 1)[kept]
                 of = np.repeat(kept, prefix)
@@ -358,11 +361,12 @@ def repeated_lines(docs: DataFrame, proposed: int = PROPOSED) -> DataFrame:
     common = (hashes, ranks)
     sets = lines.where("bucket is null").select("h", "h2", "uid", "line")
     # of sets with several lines only, and cut off, so that the join below can be split where a line is very frequent
-    first = sets.groupBy("h", "h2").agg(F.min(F.struct("uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "first")
-    first = checkpointed(first)
-    same = sets.join(first, ["h", "h2"]).where((F.col("first.uid") != F.col("uid")) | (F.col("first.line") != F.col("line"))).select("uid", "line")
+    first = sets.groupBy("h", "h2").agg(F.min(F.struct("uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = checkpointed(first.select("h", "h2", "first", "n"))
+    hot = hottest(first.select("h", "h2", "n", "first.uid", F.col("first.line").cast("long").alias("line")), "n", ["h", "h2", "uid", "line"])
+    same = sets.join(first.drop("n"), ["h", "h2"]).where((F.col("first.uid") != F.col("uid")) | (F.col("first.line") != F.col("line"))).select("uid", "line")
     buckets = max(64, docs.count() // DOCS_PER_BUCKET)
-    found = checkpointed(_pairs(_postings(docs, common, buckets), proposed))
+    found = checkpointed(_pairs(_postings(docs, common, hot, buckets), proposed))
     pairs = found.where("uid is not null")
     near = checkpointed(_verified(docs, pairs.select("uid", "line", "uid2", "line2").distinct())).where("held").select("uid", "line")
     # sets whose proposals all failed and that had more candidates: all of these

@@ -267,3 +267,16 @@ def test_clashing_names_raise(spark):
     ):
         with pytest.raises(ValueError, match="already"):
             call()
+
+
+@pytest.mark.parametrize("hottest", [100_000, 3])
+def test_hot_sets_are_posted_once(spark, monkeypatch, hottest):
+    monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(common, "HOTTEST", hottest)
+    line, near = "one line of eleven words that stands in very many documents", "one line of eleven words that stands in very many papers"
+    own = lambda k: " ".join(f"d{k}w{j}" for j in range(9))
+    rows = [(k, f"{own(k)}\n{line if k % 3 else near}\nfoot of the page") for k in range(40)] + [(k, own(k % 4) + " tail " + own(90)) for k in range(40, 60)]
+    rows += [(100, own(3) + " tail"), (101, own(3) + " tail"), (102, own(3) + " tail")]  # of one of these there is a partition that posts nothing
+    df, texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(20), dict(rows)
+    assert {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(df).collect()} == {d: line_numbers(texts)[d] for d in texts}
+    assert {r.doc_id: (r.group_id, r.n_links) for r in chosen_path.with_groups(df).collect()} == linked(texts)
