@@ -49,21 +49,17 @@ def caption_gap(figure: Column, caption: Column) -> Column:
     return F.when(caption["y0"] >= figure["y1"], caption["y0"] - figure["y1"]).when(caption["y1"] <= figure["y0"], figure["y0"] - caption["y1"] + ABOVE_PENALTY).otherwise(F.lit(0))
 
 
-def nearest_captions(figures: DataFrame, captions: DataFrame) -> DataFrame:
-    """figures with the nearest caption of their page that overlaps them sideways (caption: struct of region_no, text, gap; null if none); the first detected of equals.
+def figures_with_captions(regions: DataFrame, config: ExtractionConfig) -> DataFrame:
+    """The confident figure regions with index (see reading_order) and caption: the nearest of their page that overlaps them sideways (struct of gap, region_no, text; null if none), the first detected of equals.
 
-    An equi-join on the page with the overlap as residual, then an arg-min.
+    A page's captions, few as they are, are gathered by a window, so regions are shuffled once; then an arg-min over them.
     """
-    own = captions.select(*PAGE, F.col("region_no").alias("c_no"), F.col("box").alias("c_box"), F.col("caption_text").alias("c_text"))
-    overlap = F.least(F.col("box.x1"), F.col("c_box.x1")) - F.greatest(F.col("box.x0"), F.col("c_box.x0")) > 0
-    f, c = figures.alias("f"), own.alias("c")
-    joined = f.join(c, (F.col("f.doc_id") == F.col("c.doc_id")) & (F.col("f.page_number") == F.col("c.page_number")) & overlap, "left")
-    gap = caption_gap(F.col("box"), F.col("c_box"))
-    best = joined.groupBy("f.doc_id", "f.page_number", "f.region_no").agg(
-        *[F.first(F.col(f"f.{n}")).alias(n) for n in figures.columns if n not in (*PAGE, "region_no")],
-        F.min(F.when(F.col("c_no").isNotNull(), F.struct(gap.alias("gap"), F.col("c_no").alias("region_no"), F.col("c_text").alias("text")))).alias("caption"),
-    )
-    return best
+    page = W.partitionBy(*PAGE)
+    own = F.when(F.col("label") == CAPTION, F.struct("region_no", "box", F.col("caption_text").alias("text")))
+    figures = figure_regions(regions.withColumn("captions", F.collect_list(own).over(page)), config)
+    overlap = lambda c: F.least(F.col("box.x1"), c["box"]["x1"]) - F.greatest(F.col("box.x0"), c["box"]["x0"]) > 0
+    rated = F.transform(F.filter("captions", overlap), lambda c: F.struct(caption_gap(F.col("box"), c["box"]).alias("gap"), c["region_no"].alias("region_no"), c["text"].alias("text")))
+    return reading_order(figures.withColumn("caption", F.array_min(rated)).drop("captions"))
 
 
 def name_figures(figures: DataFrame) -> DataFrame:
@@ -77,6 +73,5 @@ def name_figures(figures: DataFrame) -> DataFrame:
 def layout_figures(regions: DataFrame, page: Column, config: ExtractionConfig | None = None) -> DataFrame:
     """(doc_id, page_number, cand_no, figure_id, number, label, caption, region) of regions with caption_text."""
     config = config or ExtractionConfig()
-    figures = reading_order(figure_regions(regions, config))
-    found = name_figures(nearest_captions(figures, regions.where(F.col("label") == CAPTION)))
+    found = name_figures(figures_with_captions(regions, config))
     return found.select(*PAGE, F.col("index").alias("cand_no"), "figure_id", "number", "label", F.col("caption_text").alias("caption"), to_points(F.col("box"), page, config.layout_detect_dpi).alias("region"))

@@ -188,7 +188,7 @@ def region_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest(spark: SparkSession, d: str) -> DataFrame:
-    return L.nearest_captions(ordered(spark, d), regions(spark, d).where(F.col("label") == L.CAPTION))
+    return L.figures_with_captions(regions(spark, d), CONFIG)
 
 
 @query

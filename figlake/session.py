@@ -53,8 +53,7 @@ class FigureEngine:
         raw = raw.withColumn("caption_text", X.best_spacing(text, F.transform("variants", lambda t: X.collapsed(t)))).drop("variants")
         wide, high = (F.round(length(F.col("page_box")) * scale).cast("int") for length in (G.width, G.height))
         found = layout.normalize_regions(raw, wide, high)
-        figures = layout.reading_order(layout.figure_regions(found, self.config))
-        named = layout.name_figures(layout.nearest_captions(figures, found.where(F.col("label") == layout.CAPTION)))
+        named = layout.name_figures(layout.figures_with_captions(found, self.config))
         region = layout.to_points(F.col("box"), F.col("page_box"), self.config.layout_detect_dpi)
         return named.select(*PAGE, F.lit("layout").alias("path"), F.col("index").cast("int").alias("cand_no"), "figure_id", "number", "label", F.col("caption_text").alias("caption"), region.alias("region"), F.lit("layout-model").alias("detection_method"), "page_box")
 
