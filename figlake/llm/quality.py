@@ -14,6 +14,7 @@ repeat an id count once (the greater); other columns are kept, and a clash with
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import Heavy, byte_hashes, checkpointed, folded, from_planes, mix64, most_common, planes, task_number, text_chunks, tidy, words_of
+from figlake.llm.common import Heavy, byte_hashes, checkpointed, folded, from_planes, mix64, most_common, planes, ranges, task_number, text_chunks, tidy, words_of
 
 FIT_ROWS, VOCABULARY = 6_000, 16_384
 DIMENSIONS, LOOKS, ENTRIES, REACH = 64, 128, 4, 2
 #: Words whose sums travel together.
 PIECE = 512
+#: Vectors are whole multiples of 1 / SCALE, so that sums are exact.
+SCALE = 4096
 PARTS = "key int, task long, packed binary"
 HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 1600, 128, 3e-3, 1e-4
 #: Vectors of texts of few words are drawn towards the centre; standardised components end at FAR.
@@ -51,22 +54,35 @@ def index_entries(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return (at % np.uint64(size)).astype(np.int64), np.where((at >> np.uint64(40)) & np.uint64(1), 1.0, -1.0).astype(np.float32)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, hash of the look, document) of every word."""
-    starts, ends, owner = words_of(data, offsets, _SPACE)
-    if not len(starts):
-        none = np.zeros(0, np.uint64)
-        return none, none, owner
-    hashes = byte_hashes(data, starts, ends)
-    count = lambda kind: np.add.reduceat(np.r_[kind[data], False].astype(np.int32), np.ravel(np.column_stack([starts, ends])))[::2]
+def _looks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The look of each word but for its lowest bit, which says whether the word before is the same."""
+    at = ranges(starts, ends - starts)
+    heads = np.cumsum(ends - starts) - (ends - starts)
+    count = lambda kind: np.add.reduceat(kind[data[at]].astype(np.int64), heads)
     upper, lower, digit, symbol = (count(kind) for kind in (_UPPER, _LOWER, _DIGIT, _SYMBOL))
     length = np.digitize(ends - starts, (2, 4, 8, 13, 20))
     last = data[ends - 1]
     last = np.where(_SYMBOL[last], last, 0)
-    same = np.r_[False, (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])]
     cased = np.where(upper == 0, 0, np.where(lower == 0, np.where(upper > 1, 3, 2), 1))
-    look = same * 1 + 2 * cased + 8 * np.minimum(symbol, 4) + 64 * (digit > 0) + 128 * length + 1024 * last.astype(np.int64)
-    return hashes, look.astype(np.uint64), owner
+    return 2 * cased + 8 * np.minimum(symbol, 4) + 64 * (digit > 0) + 128 * length + 1024 * last.astype(np.int64)
+
+
+def _summed(table: np.ndarray, codes: np.ndarray, owner: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of the whole-numbered rows table[codes] of each document, whose words begin at heads: exact, so a document's sum does not depend on what stands beside it.
+
+    Few documents of many repeated words are summed as a product of the counts with the table, others word by word.
+    """
+    docs, kinds = len(heads), len(table)
+    if docs * kinds <= 8 * len(codes):
+        turn = np.cumsum(np.r_[False, owner[1:] != owner[:-1]])
+        return np.bincount(turn * kinds + codes, minlength=docs * kinds).reshape(docs, kinds).astype(np.float64) @ table.astype(np.float64)
+    columns = np.take(np.ascontiguousarray(table.T), codes, axis=1)
+    return np.add.reduceat(columns, heads, axis=1).T.astype(np.float64)  # of 32 bits: a step of several documents has less than 2**18 words
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    return from_planes(raw, "<i8", len(raw) // 8, 0)
 
 
 def vocabulary(docs: DataFrame, text: str) -> np.ndarray:
@@ -87,10 +103,10 @@ def vocabulary(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def context_vectors(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, unit context vectors) of the vocabulary, from all occurrences in all texts. Sums are of whole numbers, so they do not depend on how the texts are dealt out."""
+    """(sorted hashes, context vectors of length 1, less their mean, in whole SCALE-ths; last, zeros for other words) of the vocabulary, from all occurrences in all texts. Sums are of whole numbers, so they do not depend on how the texts are dealt out."""
     known = vocabulary(docs, text)
     if not len(known):
-        return known, np.zeros((1, DIMENSIONS), np.float32)
+        return known, np.zeros((1, DIMENSIONS), np.int32)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     pieces = -(-len(known) // PIECE)
 
@@ -113,16 +129,16 @@ def context_vectors(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
                         y, own = y[own >= 0], own[own >= 0]
                         np.add.at(sums, (own[:, None] + places[y]).ravel(), signs[y].ravel())
         sums = sums.reshape(len(hashes), DIMENSIONS)
-        packed = [planes(np.ascontiguousarray(sums[k * PIECE : (k + 1) * PIECE].ravel())) for k in range(pieces)]
+        packed = [zlib.compress(planes(np.ascontiguousarray(sums[k * PIECE : (k + 1) * PIECE].ravel())), 1) for k in range(pieces)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), pa.array([task_number()] * pieces, pa.int64()), pa.array(packed, pa.binary())], names=["key", "task", "packed"])
 
     def add(packed: list[bytes], last: bool) -> bytes:
-        return planes(sum(from_planes(x, "<i8", len(x) // 8, 0) for x in packed))
+        return zlib.compress(planes(sum(map(_unpacked, packed))), 1)
 
     parts = checkpointed(docs.select(text).mapInArrow(tidy(collect), PARTS))
-    vectors = np.concatenate([from_planes(x, "<i8", len(x) // 8, 0) for _, x in sorted(folded(parts, add))]).reshape(len(known), DIMENSIONS).astype(np.float64)
+    vectors = np.concatenate([_unpacked(x) for _, x in sorted(folded(parts, add))]).reshape(len(known), DIMENSIONS).astype(np.float64)
     vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return known, np.concatenate([vectors - vectors.mean(axis=0), np.zeros((1, DIMENSIONS))]).astype(np.float32)
+    return known, np.rint(SCALE * np.concatenate([vectors - vectors.mean(axis=0), np.zeros((1, DIMENSIONS))])).astype(np.int32)
 
 
 #: (shift, mask) of a look's parts: repeated, case, symbols, digits, length, last symbol; then the look as a whole. Each has an index vector.
@@ -133,22 +149,27 @@ def pooled(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, vectors: n
     """Mean context vector, share of unknown words and mean look vector of each text; last, how far they are to be trusted: n / (n + FEW) for n words."""
     n = len(offsets) - 1
     out = np.zeros((n, DIMENSIONS + 1 + LOOKS + 1), np.float32)
-    own, looks, owner = _words(data, offsets)
-    if not len(own):
+    starts, ends, owner = words_of(data, offsets, _SPACE)
+    if not len(starts):
         return out
-    at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
-    at = np.where(hashes[at] == own, at, len(hashes)) if len(hashes) else np.zeros(len(own), np.int64)
+    codes, distinct = pd.factorize(byte_hashes(data, starts, ends))
+    first = np.empty(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    at = np.minimum(np.searchsorted(hashes, distinct), max(0, len(hashes) - 1))
+    at = np.where(hashes[at] == distinct, at, len(hashes)) if len(hashes) else np.zeros(len(distinct), np.int64)
     heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     docs, counts = owner[heads], np.diff(np.r_[heads, len(owner)])
-    out[docs, :DIMENSIONS] = np.add.reduceat(vectors[at], heads, axis=0) / counts[:, None]
-    out[docs, DIMENSIONS] = np.add.reduceat((at == len(hashes)).astype(np.float32), heads) / counts
-    codes, distinct = pd.factorize(looks)
-    table = np.zeros((len(distinct), LOOKS), np.float32)
+    known = np.concatenate([vectors[at], (at == len(hashes))[:, None].astype(np.int32)], axis=1)
+    out[docs, : DIMENSIONS + 1] = _summed(known, codes, owner, heads) / counts[:, None] / np.r_[np.full(DIMENSIONS, SCALE), 1.0]
+    same = np.r_[False, (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])]
+    looks, look_of = np.unique(_looks(data, starts[first], ends[first]), return_inverse=True)
+    looks = (looks[:, None] + np.arange(2)).ravel().astype(np.uint64)
+    table = np.zeros((len(looks), LOOKS), np.int32)
     for k, (shift, mask) in enumerate(_LOOK_PARTS):
-        part = ((distinct >> np.uint64(shift)) & np.uint64(mask)) + np.uint64((k + 1) << 32)
+        part = ((looks >> np.uint64(shift)) & np.uint64(mask)) + np.uint64((k + 1) << 32)
         places, signs = index_entries(mix64(part), LOOKS)
-        np.add.at(table, (np.arange(len(distinct))[:, None], places), signs)
-    out[docs, DIMENSIONS + 1 : -1] = np.add.reduceat(table[codes], heads, axis=0) / counts[:, None]
+        np.add.at(table, (np.arange(len(looks))[:, None], places), signs.astype(np.int32))
+    out[docs, DIMENSIONS + 1 : -1] = _summed(table, 2 * look_of[codes] + same, owner, heads) / counts[:, None]
     out[docs, -1] = counts / (counts + FEW)
     return out
 

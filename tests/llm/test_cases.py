@@ -131,7 +131,19 @@ def test_word_vectors_count_all_texts(spark):
     for parts in (1, 5):
         hashes, vectors = quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts), "text")
         assert hashes.tolist() == [h for h, _ in known]
-        assert np.allclose(vectors[:-1], want - want.mean(axis=0), atol=1e-6) and not vectors[-1].any()
+        assert np.allclose(vectors[:-1] / quality.SCALE, want - want.mean(axis=0), atol=1 / quality.SCALE) and not vectors[-1].any()
+
+
+def test_pooling_does_not_depend_on_the_neighbours():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "B!", "cc9", "Dd", "e" * 30, "é"], rng.integers(0, 40))) for _ in range(60)] + ["", "only"]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    hashes = np.sort(common.byte_hashes(raw[-1], np.array([0]), np.array([4])))
+    vectors = rng.integers(-4096, 4096, (2, quality.DIMENSIONS)).astype(np.int32)
+    vectors[-1] = 0
+    together = quality.pooled(np.concatenate(raw), np.cumsum([0, *map(len, raw)]), hashes, vectors)
+    for x, row in zip(raw, together, strict=True):
+        assert (quality.pooled(x, np.array([0, len(x)]), hashes, vectors)[0] == row).all()
 
 
 def test_folding_is_a_tree(spark, monkeypatch):
@@ -253,7 +265,7 @@ def test_one_bad_row_changes_nothing_for_others(spark):
 def test_clashing_names_raise(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     more = lambda name: df.selectExpr("*", f"1 AS {name}")
-    model = quality.train(np.zeros((12, quality.DIMENSIONS + quality.LOOKS + 2), np.float32), np.arange(12) % 2, np.zeros(0, np.uint64), np.zeros((1, quality.DIMENSIONS), np.float32))
+    model = quality.train(np.zeros((12, quality.DIMENSIONS + quality.LOOKS + 2), np.float32), np.arange(12) % 2, np.zeros(0, np.uint64), np.zeros((1, quality.DIMENSIONS), np.int32))
     for call in (
         lambda: bpe.decode(more("Decoded"), BPE),
         lambda: bpe.round_trip(more("IDS"), "text", BPE),
