@@ -296,8 +296,10 @@ class Heavy:
     def _most(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, U64), np.zeros(0, np.int64)
-        codes, distinct = pd.factorize(np.concatenate([p[0] for p in self.parts]))
-        counts = np.bincount(codes, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
+        distinct, counts = self.parts[0]
+        if len(self.parts) > 1:
+            codes, distinct = pd.factorize(np.concatenate([p[0] for p in self.parts]))
+            counts = np.bincount(codes, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
         if len(counts) > n:
             keep = np.argpartition(-counts, n)[:n]
             distinct, counts = distinct[keep], counts[keep]
@@ -306,8 +308,10 @@ class Heavy:
     def packed(self) -> tuple[pa.Array, pa.Array]:
         """(bucket, words and their counts) of the most frequent words, for most_common."""
         words, counts = self._most(self.limit)
-        bucket = (mix64(words) % U64(COUNT_BUCKETS)).astype(np.int64)
-        packed = [words[bucket == k].tobytes() + counts[bucket == k].astype(np.int64).tobytes() for k in range(COUNT_BUCKETS)]
+        bucket = (mix64(words) % U64(COUNT_BUCKETS)).astype(np.uint8)
+        order = np.argsort(bucket, kind="stable")
+        words, counts, edges = words[order], counts[order].astype(np.int64), np.searchsorted(bucket[order], np.arange(COUNT_BUCKETS + 1))
+        packed = [words[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.array(np.arange(COUNT_BUCKETS, dtype=np.int32)), pa.array(packed, pa.binary())
 
 

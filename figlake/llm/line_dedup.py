@@ -35,7 +35,7 @@ NUM, DEN = 4, 5
 COMMON = 1 << 18
 #: Candidates of a set that a token's group proposes at first, and how many more if the nearest is doubtful; groups of more sets than SMALL are compared block by block.
 PROPOSED, DOUBTFUL, SMALL = 1, 2, 256
-DOCS_PER_BUCKET = 1000
+DOCS_PER_BUCKET, LEAST_BUCKETS = 4000, 16
 STEP_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -71,7 +71,9 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, rank=None) -> Sets:
     codes, distinct = pd.factorize(byte_hashes(data, starts, ends))
     first = np.empty(len(distinct), np.int64)
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    places = np.lexsort((distinct,) if rank is None else (distinct, rank(distinct)))
+    places = np.argsort(distinct)
+    if rank is not None:
+        places = places[np.argsort(rank(distinct[places]), kind="stable")]
     ordered, second = distinct[places], byte_hashes(data, starts[first], ends[first], 1)[places]
     turn = np.empty(len(places), np.int64)
     turn[places] = np.arange(len(places))
@@ -316,6 +318,19 @@ def _rest(groups: DataFrame, asked: DataFrame) -> DataFrame:
     return joined.mapInArrow(tidy(run), "uid long, line int, uid2 long, line2 int").distinct()
 
 
+#: Lines of fewer bytes travel as they are.
+LEAST_PACKED = 160
+
+
+def _short(line: bytes) -> bytes:
+    """The line, or, after a line feed, its compressed form."""
+    return line if len(line) < LEAST_PACKED else b"\n" + zlib.compress(line, 1)
+
+
+def _split_words(packed: bytes) -> set[bytes]:
+    return set((zlib.decompress(packed[1:]) if packed[:1] == b"\n" else packed).split())
+
+
 def _texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(uid, line, packed): the compressed text of the lines asked for."""
     asked = checkpointed(lines.groupBy("uid").agg(F.array_sort(F.collect_set("line")).alias("asked")))
@@ -328,7 +343,7 @@ def _texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 own = text.as_py().encode().split(b"\n")
                 uids += [uid] * len(asked)
                 lines += asked
-                out += [zlib.compress(own[k], 1) for k in asked]
+                out += [_short(own[k]) for k in asked]
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(lines, pa.int32()), pa.array(out, pa.binary())], names=["uid", "line", "packed"])
 
     return joined.mapInArrow(tidy(run), "uid long, line int, packed binary")
@@ -337,14 +352,14 @@ def _texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(uid, line, held): whether any of a line's proposed earlier lines has the similarity, by their words."""
     both = pairs.select("uid", "line").union(pairs.select("uid2", "line2"))
-    texts = checkpointed(_texts_of(docs, both))
-    known = pairs.join(texts.withColumnsRenamed({"uid": "uid2", "line": "line2", "packed": "packed2"}), ["uid2", "line2"]).join(texts, ["uid", "line"])
+    texts = checkpointed(_texts_of(docs, both)).hint("shuffle_hash")
+    known = pairs.join(texts.withColumnsRenamed({"uid": "uid2", "line": "line2", "packed": "packed2"}).hint("shuffle_hash"), ["uid2", "line2"]).join(texts, ["uid", "line"])
 
     def run(batches):
         for batch in batches:
             held = []
             for x, y in zip(batch.column("packed").to_pylist(), batch.column("packed2").to_pylist(), strict=True):
-                own, other = set(zlib.decompress(x).split()), set(zlib.decompress(y).split())
+                own, other = _split_words(x), _split_words(y)
                 common = len(own & other)
                 held.append(DEN * common >= NUM * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("line"), pa.array(held, pa.bool_())], names=["uid", "line", "held"])
@@ -364,8 +379,8 @@ def repeated_lines(docs: DataFrame, proposed: int = PROPOSED) -> DataFrame:
     first = sets.groupBy("h", "h2").agg(F.min(F.struct("uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = checkpointed(first.select("h", "h2", "first", "n"))
     hot = hottest(first.select("h", "h2", "n", "first.uid", F.col("first.line").cast("long").alias("line")), "n", ["h", "h2", "uid", "line"])
-    same = sets.join(first.drop("n"), ["h", "h2"]).where((F.col("first.uid") != F.col("uid")) | (F.col("first.line") != F.col("line"))).select("uid", "line")
-    buckets = max(64, docs.count() // DOCS_PER_BUCKET)
+    same = sets.join(first.drop("n").hint("shuffle_hash"), ["h", "h2"]).where((F.col("first.uid") != F.col("uid")) | (F.col("first.line") != F.col("line"))).select("uid", "line")
+    buckets = max(LEAST_BUCKETS, docs.count() // DOCS_PER_BUCKET)
     found = checkpointed(_pairs(_postings(docs, common, hot, buckets), proposed))
     pairs = found.where("uid is not null")
     near = checkpointed(_verified(docs, pairs.select("uid", "line", "uid2", "line2").distinct())).where("held").select("uid", "line")

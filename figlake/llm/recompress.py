@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, from_planes, identified, mix64, planes, ranges, run_hashes, text_chunks, tidy, tidy_group, words_of
 
 WINDOW, ROUNDS = 35, 3
-DOCS_PER_BUCKET = 1000
+DOCS_PER_BUCKET, LEAST_BUCKETS = 4000, 16
 STEP_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -243,7 +243,7 @@ def _equal_windows(docs: DataFrame, open_: DataFrame, buckets: int) -> DataFrame
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(uid, ats, ns) of documents (uid, text): places (in words, from 0) and numbers of consecutive windows that occur elsewhere too."""
-    buckets = max(64, docs.count() // DOCS_PER_BUCKET)
+    buckets = max(LEAST_BUCKETS, docs.count() // DOCS_PER_BUCKET)
     found = checkpointed(_found(_records(docs, buckets)))
     edges = _equal_windows(docs, found.where("open").select("uid", "at", "n"), buckets)
     whole = found.where("sure").select("uid", "at", "n").union(edges)
