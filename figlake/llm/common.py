@@ -392,6 +392,51 @@ def from_planes(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
 
 
+def packed_groups(columns: list[np.ndarray], edges: np.ndarray, words: np.ndarray | None = None, counts: np.ndarray | None = None) -> pa.Array:
+    """One binary value for each group of rows edges[k]:edges[k + 1] of the columns: their number, the first bytes of all values, the second bytes, and so on (see planes), and their extra words (``counts`` for each row).
+
+    Groups may be very many and small, so nothing is done group by group.
+    """
+    many = np.diff(edges)
+    wide = sum(c.itemsize for c in columns)
+    own = np.repeat(np.arange(len(many)), many)
+    extra = np.bincount(own, counts, len(many)).astype(np.int64) if words is not None else np.zeros(len(many), np.int64)
+    padded = -(-many * wide // 8) * 8
+    ends = np.cumsum(8 + padded + 8 * extra)
+    begin = ends - (8 + padded + 8 * extra)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out.view(np.int64)[begin // 8] = many
+    at, step = begin[own] + 8 + np.arange(len(own)) - edges[own], many[own]
+    for c in columns:
+        for plane in np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T:
+            out[at] = plane
+            at = at + step
+    if words is not None:
+        out.view(np.uint64)[ranges((begin + 8 + padded) // 8, extra)] = words
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked_groups(packed: pa.Array, kinds: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns, extra words) of all groups of packed_groups, one after the other."""
+    offsets, raw = string_buffers(packed)
+    raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+    words, begin = raw.view(np.uint64), offsets[:-1]
+    many = words[begin // 8].astype(np.int64)
+    wide = sum(np.dtype(kind).itemsize for kind in kinds)
+    step = np.repeat(many, many)
+    at = ranges(begin + 8, many)
+    out = []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        rows = np.empty((len(at), size), np.uint8)
+        for k in range(size):
+            rows[:, k] = raw[at]
+            at = at + step
+        out.append(rows.view(kind).ravel())
+    first = begin + 8 + -(-many * wide // 8) * 8
+    return out, words[ranges(first // 8, (offsets[1:] - first) // 8)]
+
+
 def _release() -> None:
     """Gives free memory back to the system: workers live on after a task."""
     pa.default_memory_pool().release_unused()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import Heavy, attached, byte_hashes, checkpointed, fresh, from_planes, hottest, identified, let, mix64, most_common, planes, posts, ranges, task_number, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import Heavy, attached, byte_hashes, checkpointed, fresh, hottest, identified, let, mix64, most_common, packed_groups, posts, ranges, task_number, text_chunks, tidy, tidy_group, unpacked_groups, words_of
 
 NUM, DEN = 4, 5
 COMMON = 1 << 18
@@ -127,9 +127,8 @@ def signatures(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     return words, begin
 
 
-def _packed(columns: dict[str, np.ndarray], sigs: np.ndarray) -> bytes:
-    n = len(columns["tok"])
-    return n.to_bytes(4, "little") + b"".join(planes(np.ascontiguousarray(columns[name])) for name, _ in _PACK) + sigs.tobytes()
+def _packed(columns: dict[str, np.ndarray], edges: np.ndarray, sigs: np.ndarray, width: np.ndarray) -> pa.Array:
+    return packed_groups([np.ascontiguousarray(columns[name]) for name, _ in _PACK], edges, sigs, width)
 
 
 def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], hot: list[np.ndarray], buckets: int) -> DataFrame:
@@ -169,23 +168,16 @@ def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], hot: list[
                 columns = {name: columns[name].astype(kind) for name, kind in _PACK}
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
                 width = _width(sets.sizes)[of]
-                sigs, till = words[ranges(begin[of], width)], np.r_[0, np.cumsum(width)]
-                packed = [_packed({name: c[a:b] for name, c in columns.items()}, sigs[till[a] : till[b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+                packed = _packed(columns, edges, words[ranges(begin[of], width)], width)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), packed], names=["bucket", "packed"])
 
     return docs.mapInArrow(tidy(run), "bucket int, packed binary")
 
 
-def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+def _unpacked(packed: pa.Array) -> dict[str, np.ndarray]:
     """The columns of all postings; sat is where a posting's signature begins in sigs."""
-    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in (*_PACK, ("sigs", ""))}
-    for blob in blobs:
-        n, at = int.from_bytes(blob[:4], "little"), 4
-        for name, kind in _PACK:
-            parts[name].append(from_planes(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-        parts["sigs"].append(np.frombuffer(blob, np.uint64, -1, at))
-    out = {name: np.concatenate(x) for name, x in parts.items()}
+    columns, sigs = unpacked_groups(packed, [kind for _, kind in _PACK])
+    out = dict(zip([name for name, _ in _PACK], columns, strict=True)) | {"sigs": sigs}
     width = _width(out["size"])
     return out | {"sat": np.cumsum(width) - width}
 
@@ -283,19 +275,18 @@ def _pairs(postings: DataFrame, proposed: int) -> DataFrame:
     """Proposed pairs; and the groups of tokens that hold more candidates of some set than were proposed."""
 
     def meet(table: pa.Table) -> pa.Table:
-        p = _unpacked(table.column("packed").to_pylist())
+        p = _unpacked(table.column("packed"))
         a, b, more = candidates(p, proposed)
         group = (table.column("bucket")[0].as_py() << 32) | p["tok"].astype(np.int64)
         kept = np.unique(group[a[more]])
         begin, end = np.searchsorted(group, kept), np.searchsorted(group, kept, side="right")
-        packed = []
-        for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-            sigs = p["sigs"][ranges(p["sat"][x:y], _width(p["size"][x:y]))]
-            packed.append(_packed({name: p[name][x:y] for name, _ in _PACK}, sigs))
+        rows = ranges(begin, end - begin)
+        width = _width(p["size"][rows])
+        packed = _packed({name: p[name][rows] for name, _ in _PACK}, np.r_[0, np.cumsum(end - begin)], p["sigs"][ranges(p["sat"][rows], width)], width)
         n, m = len(a), len(kept)
         columns = [p["uid"][a], p["line"][a].astype(np.int32), p["uid"][b], p["line"][b].astype(np.int32)]
         out = [pa.concat_arrays([pa.array(c), pa.nulls(m, pa.array(c).type)]) for c in columns]
-        out += [pa.concat_arrays([pa.array(group[a], pa.int64(), mask=~more), pa.array(kept, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(packed, pa.binary())])]
+        out += [pa.concat_arrays([pa.array(group[a], pa.int64(), mask=~more), pa.array(kept, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.binary()), packed])]
         return pa.table(out, names=[f.split()[0] for f in _PAIRS.split(", ")])
 
     return postings.groupBy("bucket").applyInArrow(tidy_group(meet), _PAIRS)
@@ -308,8 +299,8 @@ def _rest(groups: DataFrame, asked: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for packed, uids, lines in zip(batch.column("packed").to_pylist(), batch.column("uids").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-                p = _unpacked([packed])  # in order of lines already, equal sets once
+            for k, uids, lines in zip(range(batch.num_rows), batch.column("uids").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                p = _unpacked(batch.column("packed").slice(k, 1))  # in order of lines already, equal sets once
                 wanted = set(zip(uids, lines, strict=True))
                 for a in [k for k, x in enumerate(zip(p["uid"].tolist(), p["line"].tolist(), strict=True)) if x in wanted]:
                     _, b, _, _ = _passing(p, np.full(a, a), np.arange(a))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, from_planes, identified, mix64, planes, ranges, run_hashes, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, identified, mix64, packed_groups, ranges, run_hashes, text_chunks, tidy, tidy_group, unpacked_groups, words_of
 
 WINDOW, ROUNDS = 35, 3
 DOCS_PER_BUCKET, LEAST_BUCKETS = 4000, 16
@@ -120,19 +120,11 @@ def _packed(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
-    packed = [b"".join(planes(c[a:b]) for c in columns) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), packed_groups(columns, edges)], names=["bucket", "packed"])
 
 
-def _unpacked(blobs: list[bytes], pack: tuple[tuple[str, str], ...]) -> list[np.ndarray]:
-    parts: list[list[np.ndarray]] = [[] for _ in pack]
-    width = sum(np.dtype(kind).itemsize for _, kind in pack)
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for out, (_, kind) in zip(parts, pack, strict=True):
-            out.append(from_planes(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(x) for x in parts]
+def _unpacked(packed: pa.Array, pack: tuple[tuple[str, str], ...]) -> list[np.ndarray]:
+    return unpacked_groups(packed, [kind for _, kind in pack])[0]
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +176,7 @@ def _found(records: DataFrame) -> DataFrame:
     """(uid, at, n, sure, open): sure ones repeat as a whole; the windows of open ones are to be compared."""
 
     def meet(table: pa.Table) -> pa.Table:
-        name, span, uid, at, n = _unpacked(table.column("packed").to_pylist(), _PACK)
+        name, span, uid, at, n = _unpacked(table.column("packed"), _PACK)
         known, n = n >= _SURE, n & (_SURE - 1)
         only = known & (name == 0) & (span == 0)  # the others of a step, sure already
         order = np.lexsort((at, uid, span, name))
@@ -229,7 +221,7 @@ def _equal_windows(docs: DataFrame, open_: DataFrame, buckets: int) -> DataFrame
                 yield _packed((one % np.uint64(buckets)).astype(np.int64), [one, (two >> np.uint64(32)).astype(np.uint32), uids[lo:hi][of], at.astype(np.int32)])
 
     def meet(table: pa.Table) -> pa.Table:
-        one, two, uid, at = _unpacked(table.column("packed").to_pylist(), _WINDOWS)
+        one, two, uid, at = _unpacked(table.column("packed"), _WINDOWS)
         order = np.lexsort((at, uid, two, one))
         one, two, uid, at = one[order], two[order], uid[order], at[order]
         alike = np.r_[False, (one[1:] == one[:-1]) & (two[1:] == two[:-1])][: len(one)]

@@ -292,3 +292,24 @@ def test_hot_sets_are_posted_once(spark, monkeypatch, hottest):
     df, texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(20), dict(rows)
     assert {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(df).collect()} == {d: line_numbers(texts)[d] for d in texts}
     assert {r.doc_id: (r.group_id, r.n_links) for r in chosen_path.with_groups(df).collect()} == linked(texts)
+
+
+def test_packed_groups_come_back():
+    rng = np.random.default_rng(4)
+    many = rng.integers(1, 9, 300)
+    edges = np.r_[0, np.cumsum(many)]
+    n = int(edges[-1])
+    columns = [rng.integers(0, 1 << 31, n).astype("<u4"), rng.integers(0, 1 << 62, n), rng.integers(-9, 9, n).astype("<i4"), rng.integers(0, 99, n).astype("<i4")]
+    counts = rng.integers(0, 4, n)
+    words = rng.integers(0, 1 << 62, int(counts.sum())).astype(np.uint64)
+    kinds = [c.dtype.str for c in columns]
+    packed = common.packed_groups(columns, edges, words, counts)
+    assert len(packed) == 300
+    for part, a, b in ((packed, 0, 300), (packed.slice(7, 50), 7, 57), (packed.slice(299, 1), 299, 300)):
+        got, extra = common.unpacked_groups(part, kinds)
+        assert all((x == c[edges[a] : edges[b]]).all() and x.dtype == c.dtype for x, c in zip(got, columns, strict=True))
+        assert (extra == words[counts[: edges[a]].sum() : counts[: edges[b]].sum()]).all()
+    none = common.packed_groups([c[:0] for c in columns], np.zeros(1, np.int64), words[:0], counts[:0])
+    assert len(none) == 0 and not any(len(x) for x in common.unpacked_groups(none, kinds)[0])
+    got, extra = common.unpacked_groups(common.packed_groups(columns, edges), kinds)
+    assert all((x == c).all() for x, c in zip(got, columns, strict=True)) and not len(extra)
