@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, hottest, identified, mix64, plain, posts, ranges, run_hashes, text_chunks, tidy, tidy_group, words_of
+from figlake.llm.common import attached, byte_hashes, checkpointed, fresh, hottest, identified, mix64, packed_groups, plain, posts, ranges, run_hashes, text_chunks, tidy, tidy_group, unpacked_groups, words_of
 
 NUM, DEN, WORDS = 4, 5, 5
 CHOSEN, DEPTH, TARGET = 8, 6, 0.999995
@@ -95,7 +95,6 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 _PACK = (("tok", "<i8"), ("uid", "<i8"), ("same", "<i8"), ("same2", "<i8"), ("size", "<i4"))
-_WIDTH = sum(np.dtype(kind).itemsize for _, kind in _PACK)
 
 
 def _chosen(docs: DataFrame, buckets: int, hot: list[np.ndarray]) -> DataFrame:
@@ -130,8 +129,7 @@ def _chosen(docs: DataFrame, buckets: int, hot: list[np.ndarray]) -> DataFrame:
                 of, tok, bucket = of[order], tok[order], bucket[order]
                 columns = [tok.view(np.int64), own[of], same[of], same2[of], sizes[of].astype(np.int32)]
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                packed = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), packed_groups(columns, edges)], names=["bucket", "packed"])
 
     return docs.mapInArrow(tidy(run), "bucket int, packed binary")
 
@@ -140,13 +138,7 @@ def _shared(chosen: DataFrame) -> DataFrame:
     """(uid, size, tok): sampled shingles that two different sets or more have; an equal set is known by its least uid."""
 
     def meet(table: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[] for _ in _PACK]
-        for blob in table.column("packed").to_pylist():
-            n, at = len(blob) // _WIDTH, 0
-            for out, (_, kind) in zip(parts, _PACK, strict=True):
-                out.append(np.frombuffer(blob, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-        tok, uid, same, same2, size = (np.concatenate(x) for x in parts)
+        tok, uid, same, same2, size = unpacked_groups(table.column("packed"), [kind for _, kind in _PACK])[0]
         order = np.lexsort((uid, same2, same, tok))
         tok, uid, same, same2, size = tok[order], uid[order], same[order], same2[order], size[order]
         new = np.r_[True, (tok[1:] != tok[:-1]) | (same[1:] != same[:-1]) | (same2[1:] != same2[:-1])]
@@ -166,6 +158,27 @@ def _padded(lists: pa.ListArray) -> np.ndarray:
     return out
 
 
+_SIGNATURE = 512
+
+
+def _signatures(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmaps of the sampled shingles, how many of each list's share a bit with another)."""
+    row, column = np.nonzero(lists != np.iinfo(np.int64).max)
+    bit = mix64(lists[row, column].astype(np.uint64)) & np.uint64(_SIGNATURE - 1)
+    out = np.zeros((len(lists), _SIGNATURE // 64), np.uint64)
+    np.bitwise_or.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out, np.bincount(row, minlength=len(lists)) - np.bitwise_count(out).sum(axis=1)
+
+
+def _may_share(signatures: np.ndarray, doubled: np.ndarray, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which pairs may share as many sampled shingles as needed: no more than common bits and shingles that share theirs."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 14):
+        at = slice(lo, lo + (1 << 14))
+        out[at] = np.bitwise_count(signatures[a[at]] & signatures[b[at]]).sum(axis=1) + doubled[a[at]] >= need[at]
+    return out
+
+
 def _common(lists: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shared sampled shingles of the pairs: how many there are, and how many up to the last of the path."""
     count, passed = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
@@ -192,6 +205,7 @@ def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """(heads of groups, their sizes, a, b): of the rows in _ORDER, the pairs to compare in this bucket."""
     path, tok, depth, uid, size, i, j, block, dense = (table.column(c).to_numpy() for c in ("path", "tok", "depth", "uid", "size", "i", "j", "block", "dense"))
     lists = _padded(table.column("toks").combine_chunks())
+    signatures, doubled = _signatures(lists)
     new = np.r_[True, (path[1:] != path[:-1]) | (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
     heads = np.flatnonzero(new)
     many = np.diff(np.r_[heads, len(tok)])
@@ -200,8 +214,10 @@ def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         m, n = size[a].astype(np.int64), size[b].astype(np.int64)
         fit = (DEN * np.minimum(m, n) >= NUM * np.maximum(m, n)) & (uid[a] != uid[b]) & ((i[a] == j[a]) | (block[a] != block[b])) & (dense[a] | dense[b])
         a, b = a[fit], b[fit]
-        count, passed = _common(lists, tok, a, b)
         need = np.minimum(DEPTH, -(-NUM * (size[a].astype(np.int64) + size[b]) // (NUM + DEN)))
+        fit = _may_share(signatures, doubled, a, b, need)
+        a, b, need = a[fit], b[fit], need[fit]
+        count, passed = _common(lists, tok, a, b)
         fit = (count >= need) & (passed == depth[a])  # the path is that of the pair's smallest shared ones
         left.append(a[fit]), right.append(b[fit])
     return heads, many, np.concatenate(left), np.concatenate(right)
