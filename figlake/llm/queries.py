@@ -109,7 +109,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(
         "doc_id",
         F.size("removed_lines").cast("long").alias("n_removed"),
-        "removed_lines",
+        F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
@@ -154,4 +154,17 @@ ORACLE_SQL: dict[str, str] = {
         links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
         reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
         SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM d""",
+    # equal sets by their first line; then the pairs of these that share a word of their rarest, m - ceil(0.8 m) + 1 of each
+    "op10_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS n, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS w FROM l),
+        u AS (SELECT w, len(w) AS m, min(n) AS n FROM s WHERE len(w) > 0 GROUP BY w),
+        t AS (SELECT n, m, unnest(w) AS x FROM u),
+        r AS (SELECT n, m, x, row_number() OVER (PARTITION BY n ORDER BY c, x) AS p FROM t JOIN (SELECT x, count(*) AS c FROM t GROUP BY x) USING (x)),
+        prefix AS (SELECT n, m, x FROM r WHERE p <= m - (4 * m + 4) // 5 + 1),
+        pairs AS (SELECT DISTINCT a.n AS a, b.n AS b FROM prefix a JOIN prefix b ON a.x = b.x AND a.n < b.n AND 5 * least(a.m, b.m) >= 4 * greatest(a.m, b.m)),
+        near AS (SELECT DISTINCT b AS n FROM pairs JOIN u x ON x.n = a JOIN u y ON y.n = b WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.m + y.m)),
+        marked AS (SELECT s.doc_id, s.k, s.line, len(s.w) > 0 AND (s.n <> u.n OR s.n IN (SELECT n FROM near)) AS gone FROM s LEFT JOIN u USING (w)),
+        d AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (gone), '') AS removed_lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN d USING (doc_id)""",
 }
