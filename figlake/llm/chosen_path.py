@@ -158,7 +158,7 @@ def _padded(lists: pa.ListArray) -> np.ndarray:
     return out
 
 
-_SIGNATURE = 512
+_SIGNATURE, FIRST = 512, 4
 
 
 def _signatures(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +179,16 @@ def _may_share(signatures: np.ndarray, doubled: np.ndarray, a: np.ndarray, b: np
     return out
 
 
+def _later(lists: np.ndarray, last: np.ndarray, depth: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs are seen by the first FIRST shingles of a alone to share more up to the last of the path than the path has: they meet elsewhere."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 14):
+        at = slice(lo, lo + (1 << 14))
+        x, y = lists[a[at], :FIRST], lists[b[at]]
+        out[at] = ((x[:, :, None] == y[:, None, :]).any(axis=2) & (x <= last[a[at]][:, None])).sum(axis=1) > depth[a[at]]
+    return out
+
+
 def _common(lists: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shared sampled shingles of the pairs: how many there are, and how many up to the last of the path."""
     count, passed = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
@@ -216,6 +226,7 @@ def _bucket_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         a, b = a[fit], b[fit]
         need = np.minimum(DEPTH, -(-NUM * (size[a].astype(np.int64) + size[b]) // (NUM + DEN)))
         fit = _may_share(signatures, doubled, a, b, need)
+        fit[fit] = ~_later(lists, tok, depth, a[fit], b[fit])
         a, b, need = a[fit], b[fit], need[fit]
         count, passed = _common(lists, tok, a, b)
         fit = (count >= need) & (passed == depth[a])  # the path is that of the pair's smallest shared ones
