@@ -5,7 +5,8 @@ similarity of their sets is ``NUM/DEN`` = 0.8 or more.
 
 1. In each run a set of size s samples the shingles whose hash in that run is below ``CHOSEN / s``, so similar sets sample the same
    ones. Runs are repeated until the chance to lose a pair is below 1 - ``TARGET``: ``RUNS`` of them (``lost``), as a pair at the threshold has to share
-   ``DEPTH`` of its sampled shingles and shares about 0.8 * RUNS * CHOSEN. Equal sets (by 128 bits) count as one from here on, with their number kept.
+   ``DEPTH`` of its sampled shingles and shares about 0.8 * RUNS * CHOSEN. Equal sets (by 128 bits) count as one from here on, with their number kept; a step
+   samples them once, and the most frequent ones (``HOTTEST``) are sampled only where their first document is.
 2. The sets are split by their smallest sampled shingles; a bucket of more than ``LEAF`` sets is split again by a further
    sampled shingle, and so on down the path, at most ``DEPTH`` times (``_split``). A pair goes down the path of its smallest shared ones and is
    compared in one bucket only, the first small one on that path. A bucket whose sets share ``DENSE`` of their further shingles on average (a family of

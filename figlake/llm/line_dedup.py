@@ -5,7 +5,7 @@ similarity of ``NUM/DEN`` = 0.8 or more with it. Steps:
 
 1. One pass counts words (each task sums up with a bounded heavy-hitter list) and finds each set's first line. Later lines with an equal set (by 128 bits of two independent hashes) go.
 2. Tokens are ordered by rarity: those outside the ``COMMON`` most frequent by hash, then the common ones by count. A set of m
-   tokens posts its first m - ceil(0.8 m) + 1 tokens. Postings travel packed, by buckets of tokens.
+   tokens posts its first m - ceil(0.8 m) + 1 tokens, once in a step; the most frequent sets (``HOTTEST``) once in all, where their first line is. Postings travel packed, by buckets of tokens.
 3. In a token's group the sets are taken in line order, equal sets once, and later sets are matched with earlier ones through the length,
    positional and bitmap filters (all exact: they drop only what cannot match).
    Only whether an earlier match exists matters, so of many candidates the nearest by bitmap are proposed.
@@ -27,7 +27,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from figlake.llm.common import Heavy, attached, byte_hashes, checkpointed, fresh, hottest, identified, let, mix64, most_common, packed_groups, posts, ranges, task_number, text_chunks, tidy, tidy_group, unpacked_groups, words_of
 
