@@ -38,10 +38,14 @@ class ExtractionConfig:
     use_layout_model: bool | None = None
     layout_detect_dpi: int = 144
     layout_min_confidence: float = 0.3
+    #: Digits that a figure's number may have before a dot: captions of longer numbers are no captions.
+    figure_number_digits: int = 3
 
     def __post_init__(self):
         if self.resolution < 72:
             raise ValueError(f"a resolution of {self.resolution} DPI is below 72")
+        if self.figure_number_digits < 1:
+            raise ValueError("a figure's number has a digit at least")
 
     @property
     def layout_on(self) -> bool:

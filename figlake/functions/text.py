@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # What a caption's first line looks like, and how a figure is numbered inside a caption.
 # (?iuU): case and character classes of Unicode, as the captions of a corpus need.
-ANCHOR = r"(?iuU)^\s*(?:fig(?:ure)?\.?)\s*(\d{1,3}(?:\.\d{1,2})?[a-z]?)\s*([:.\-–—|])\s*\S"
-NUMBER = r"(?iuU)\bfig(?:ure)?\.?\s*(\d{1,3}(?:\.\d{1,2})?[a-z]?)"
+ANCHOR = r"(?iuU)^\s*(?:fig(?:ure)?\.?)\s*(\d{1,%d}(?:\.\d{1,2})?[a-z]?)\s*([:.\-–—|])\s*\S"
+NUMBER = r"(?iuU)\bfig(?:ure)?\.?\s*(\d{1,%d}(?:\.\d{1,2})?[a-z]?)"
+#: Digits that a figure's number may have before a dot, unless the settings allow more.
+DIGITS = 3
 #: White space, with the four separators that Java's class lacks.
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Texts up to this length are not tried for lost word spacing; a variant with more blanks per character than this is broken.
@@ -24,22 +26,22 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACE, " "))
 
 
-def anchor_number(line: Column) -> Column:
+def anchor_number(line: Column, digits: int = DIGITS) -> Column:
     """The number of a caption's first line, empty for other lines."""
-    return F.regexp_extract(stripped(line), ANCHOR, 1)
+    return F.regexp_extract(stripped(line), ANCHOR % digits, 1)
 
 
-def anchor_separator(line: Column) -> Column:
-    return F.regexp_extract(stripped(line), ANCHOR, 2)
+def anchor_separator(line: Column, digits: int = DIGITS) -> Column:
+    return F.regexp_extract(stripped(line), ANCHOR % digits, 2)
 
 
-def is_anchor(line: Column) -> Column:
-    return stripped(line).rlike(ANCHOR)
+def is_anchor(line: Column, digits: int = DIGITS) -> Column:
+    return stripped(line).rlike(ANCHOR % digits)
 
 
-def caption_number(caption: Column) -> Column:
+def caption_number(caption: Column, digits: int = DIGITS) -> Column:
     """The first figure number anywhere in a caption, null if there is none."""
-    return F.nullif(F.regexp_extract(caption, NUMBER, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(caption, NUMBER % digits, 1), F.lit(""))
 
 
 def figure_id(number: Column) -> Column:

@@ -14,7 +14,7 @@ PAGE = ("doc_id", "page_number")
 GAP_SHARE, LEAST_HEIGHT = 0.8, 6.0
 
 
-def find_captions(lines: DataFrame) -> DataFrame:
+def find_captions(lines: DataFrame, digits: int = X.DIGITS) -> DataFrame:
     """(doc_id, page_number, caption_no, number, label, text, box) of lines (doc_id, page_number, line_no, text, box).
 
     A caption is an anchor line and what follows until another anchor or a gap: gaps and islands, one sort per page.
@@ -22,8 +22,8 @@ def find_captions(lines: DataFrame) -> DataFrame:
     order = W.partitionBy(*PAGE).orderBy("line_no")
     before = F.lag("box").over(order)
     gap = F.col("box.top") - before["bottom"]
-    breaks = X.is_anchor(F.col("text")) | before.isNull() | (gap > GAP_SHARE * F.greatest(G.height(before), F.lit(LEAST_HEIGHT)))
-    marked = lines.withColumn("anchor", X.is_anchor(F.col("text"))).withColumn("breaks", F.when(breaks, 1).otherwise(0))
+    breaks = X.is_anchor(F.col("text"), digits) | before.isNull() | (gap > GAP_SHARE * F.greatest(G.height(before), F.lit(LEAST_HEIGHT)))
+    marked = lines.withColumn("anchor", X.is_anchor(F.col("text"), digits)).withColumn("breaks", F.when(breaks, 1).otherwise(0))
     grouped = marked.withColumn("run", F.sum("breaks").over(order))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: X.stripped(x["text"]))
     captions = grouped.groupBy(*PAGE, "run").agg(
@@ -31,5 +31,5 @@ def find_captions(lines: DataFrame) -> DataFrame:
         X.stripped(F.array_join(parts, " ")).alias("text"),
         F.min(F.struct("line_no", "anchor", F.col("text").alias("first"))).alias("head"),
     )
-    captions = captions.where("head.anchor").withColumn("number", X.anchor_number(F.col("head.first")))
+    captions = captions.where("head.anchor").withColumn("number", X.anchor_number(F.col("head.first"), digits))
     return captions.select(*PAGE, F.col("head.line_no").alias("caption_no"), "number", X.figure_label(F.col("number")).alias("label"), "text", "box")

@@ -62,10 +62,10 @@ def figures_with_captions(regions: DataFrame, config: ExtractionConfig) -> DataF
     return reading_order(figures.withColumn("caption", F.array_min(rated)).drop("captions"))
 
 
-def name_figures(figures: DataFrame) -> DataFrame:
+def name_figures(figures: DataFrame, digits: int = X.DIGITS) -> DataFrame:
     """Adds number, figure_id, label and caption_text: the number in the caption, else p<page>-<index>."""
     text = F.coalesce(F.col("caption.text"), F.lit(""))
-    named = figures.withColumn("number", F.coalesce(X.caption_number(text), F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("-"), F.col("index").cast("string"))))
+    named = figures.withColumn("number", F.coalesce(X.caption_number(text, digits), F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("-"), F.col("index").cast("string"))))
     named = named.withColumn("figure_id", X.figure_id(F.col("number"))).withColumn("label", X.figure_label(F.col("number")))
     return named.withColumn("caption_text", F.when(text == "", X.missing_caption(F.col("label"))).otherwise(text))
 
@@ -73,5 +73,5 @@ def name_figures(figures: DataFrame) -> DataFrame:
 def layout_figures(regions: DataFrame, page: Column, config: ExtractionConfig | None = None) -> DataFrame:
     """(doc_id, page_number, cand_no, figure_id, number, label, caption, region) of regions with caption_text."""
     config = config or ExtractionConfig()
-    found = name_figures(figures_with_captions(regions, config))
+    found = name_figures(figures_with_captions(regions, config), config.figure_number_digits)
     return found.select(*PAGE, F.col("index").alias("cand_no"), "figure_id", "number", "label", F.col("caption_text").alias("caption"), to_points(F.col("box"), page, config.layout_detect_dpi).alias("region"))

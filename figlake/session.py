@@ -41,8 +41,9 @@ class FigureEngine:
 
     def heuristic_candidates(self, pages: DataFrame) -> DataFrame:
         """Captions with the region that their page's own arrays give; nothing but the captions is shuffled."""
-        own = pages.where(F.exists("lines", lambda x: X.is_anchor(x["text"]))).select(*PAGE, "page_box", "lines", "graphics")
-        found = captions.find_captions(self.lines(pages)).join(own, PAGE)
+        digits = self.config.figure_number_digits
+        own = pages.where(F.exists("lines", lambda x: X.is_anchor(x["text"], digits))).select(*PAGE, "page_box", "lines", "graphics")
+        found = captions.find_captions(self.lines(pages), digits).join(own, PAGE)
         located = found.withColumn("at", regions.locate_on_page(F.col("box"), F.col("lines"), F.col("graphics"), F.col("page_box"), self.config))
         return located.select(*PAGE, F.lit("heuristic").alias("path"), F.col("caption_no").cast("int").alias("cand_no"), X.figure_id(F.col("number")).alias("figure_id"), "number", "label", F.col("text").alias("caption"), F.col("at.region").alias("region"), F.col("at.method").alias("detection_method"), "page_box")
 
@@ -53,7 +54,7 @@ class FigureEngine:
         raw = raw.withColumn("caption_text", X.best_spacing(text, F.transform("variants", lambda t: X.collapsed(t)))).drop("variants")
         wide, high = (F.round(length(F.col("page_box")) * scale).cast("int") for length in (G.width, G.height))
         found = layout.normalize_regions(raw, wide, high)
-        named = layout.name_figures(layout.figures_with_captions(found, self.config))
+        named = layout.name_figures(layout.figures_with_captions(found, self.config), self.config.figure_number_digits)
         region = layout.to_points(F.col("box"), F.col("page_box"), self.config.layout_detect_dpi)
         return named.select(*PAGE, F.lit("layout").alias("path"), F.col("index").cast("int").alias("cand_no"), "figure_id", "number", "label", F.col("caption_text").alias("caption"), region.alias("region"), F.lit("layout-model").alias("detection_method"), "page_box")
 

@@ -12,6 +12,10 @@ from figlake.sources.pdf_writer import pdf_file, shown
 from figlake.sources.store import opened, put
 
 FILES = "doc_id string, source_path string, content binary"
+#: Files that a task makes, and reads or draws after that.
+FILES_PER_TASK = 64
+#: Digits that a caption's number needs to hold any key.
+KEY_DIGITS = 19
 
 
 def sample_pdf(key: int) -> bytes:
@@ -22,8 +26,15 @@ def sample_pdf(key: int) -> bytes:
     return pdf_file([shown(72, 640, 11, f"What follows concerns supplier {key}; see Figure {key}.") + frame + caption])
 
 
+def sample_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' keys, which are not negative; a supplier without one has no file."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("key")).where("key IS NOT NULL")
+
+
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("key"))
+    """Each key once, as suppliers of one key share a file; dealt over tasks by their number, as the table is small beside the work on the files."""
+    keys = sample_keys(spark, sf_dir)
+    return keys.repartition(keys.count() // FILES_PER_TASK + 1, "key").distinct()
 
 
 def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def made(spark: SparkSession, folder: str) -> str:
+    """The folder, which is there now even if nothing gets written to it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Deletes a folder with what is in it, in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
